@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, licenses, packing, syncmers, token_counts, token_output, toxicity
+from . import decontamination, html_text, jaccard_join, licenses, packing, suffix_dedup, syncmers, token_counts, token_output, toxicity
 from .common import shared_dir
 
 
@@ -26,6 +26,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(_table(spark, sf_dir, "documents"))
+
+
 def op5_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint(_table(spark, sf_dir, "documents"))
 
@@ -46,8 +54,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op2_toxicity, op5_syncmers, op6_html_text, op7_packing, op8_token_counts, op9_license_scan]
+    found = [op1_token_output, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_syncmers, op6_html_text, op7_packing, op8_token_counts, op9_license_scan, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
