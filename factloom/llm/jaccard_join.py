@@ -2,15 +2,15 @@
 
 Sets whose sizes allow a similarity of 3/4 lie in one band of sizes or in neighbouring ones (bands [l, 4l/3]); a set takes part
 in the instance of its band and of the next. An instance for sizes up to r deals the domain of shingles to
-n1 = 0.18 r + 2 groups of n2 = 3 partitions and has a signature for each group and each subset of n2 - 1 = 2 partitions: the hash of
-the set's shingles there. Two linked sets differ in d <= (a + b) / 7 shingles, so at most d / 2 groups differ in more
-than one partition; a set that fills two partitions of more groups than that shares a signature, of at least one
-shingle, with every set it links to. The few sets that don't (small ones mainly) also give each shingle as
-a signature, which finds any two of them. No link is lost.
+n1 = 0.3 r groups of n2 = 2 partitions and has a signature for each group and each subset of n2 - 1 of its partitions: the hash of
+the set's shingles there, if it has any. Two linked sets differ in d <= (a + b) / 7 shingles and so in at most d partitions; a
+set that fills m > d partitions shares m - d signatures at least with every set it links to. The few sets with m <= d (small
+ones mainly) also give each shingle as a signature, which finds any two of them. No link is lost.
 
 Signatures travel as packed bytes, dealt by hash; a signature that only one set has goes no further. Copies count as one
-set. A signature of more than ``HOT`` sets is left out for a set whose hot signatures are fewer than the groups on
-which it may rely, for another one then finds each of its links. What remains is compared with the least sets of each signature
+set. Sets with fewer shared signatures than m - d can have no link and are left out, again and again while
+that shortens the lists. A signature of more than ``HOT`` sets is left out for a set with fewer than m - d hot ones, for another
+one then finds each of its links. What remains is compared with the least sets of each signature
 first; only sets of a signature that are then not yet connected are compared further, so a group of copies is
 never expanded into its pairs. All comparisons are of whole sets.
 """
@@ -31,6 +31,8 @@ from .common import cut, flat, id_and_text, join_small, map_slices, partitions
 from .components import components
 
 WORDS, HOT = 5, 16
+#: Second-level partitions of a group; groups for 100 shingles of a band's largest set.
+N2, GROUPS = 2, 30
 _KEY_BITS = 40
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 
@@ -97,7 +99,7 @@ def bands(most: int) -> np.ndarray:
 
 
 def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, their text) and, for each text, the groups on which it may rely less those that may differ."""
+    """(signatures, their text) and, for each text, how many of its signatures each linked set shares at least."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     tops = bands(int(size.max(initial=1)))
@@ -105,27 +107,24 @@ def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     doc = np.repeat(np.arange(n), size)
     keys, docs, slack = [], [], np.full(n, 1 << 40, np.int64)
     element = mix(value ^ _M[4])
-    low, high = (value & np.uint64(0xFFFFFFFF)), (value >> np.uint64(33)) % np.uint64(3)
+    low, high = (value & np.uint64(0xFFFFFFFF)), (value >> np.uint64(33)).astype(np.int64) % N2
     for up in (0, 1):
         instance = own + up
         r = tops[np.minimum(instance, len(tops) - 1)]
-        n1 = np.where(size > 0, (18 * r + 99) // 100 + 1, 0)
+        n1 = np.where(size > 0, (GROUPS * r + 99) // 100 + 1, 0)
         base = np.cumsum(n1) - n1
         group = ((low * n1[doc].astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + base[doc]
-        cell = group * 3 + high.astype(np.int64)
-        cells = int(n1.sum()) * 3
-        held = np.bincount(cell, minlength=cells).reshape(-1, 3)
+        cell = group * N2 + high
+        cells = int(n1.sum()) * N2
+        held = np.bincount(cell, minlength=cells)
         total = np.zeros(cells, np.uint64)
         np.add.at(total, cell, element)
-        total = total.reshape(-1, 3)
-        of = np.repeat(np.arange(n), n1)
-        name = mix(((np.arange(len(of)) - base[of]).astype(np.uint64) << np.uint64(20)) + instance[of].astype(np.uint64))
-        for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-            some = np.flatnonzero((held[:, a] + held[:, b]) > 0)
-            keys.append(mix(total[some, a] * _M[0] + total[some, b] * _M[1] + name[some] + np.uint64(k)))
-            docs.append(of[some])
-        firm = np.bincount(of, ((held > 0).sum(1) >= 2), n).astype(np.int64)
-        spare = firm - (size + np.minimum(r, size * 4 // 3)) // 7 // 2
+        of = np.repeat(np.arange(n), n1 * N2)
+        name = mix(((np.arange(cells) - N2 * base[of]).astype(np.uint64) << np.uint64(20)) + instance[of].astype(np.uint64))
+        some = np.flatnonzero(held)  # subsets of N2 - 1 = 1 partition, of one shingle at least
+        keys.append(mix(total[some] * _M[0] + name[some]))
+        docs.append(of[some])
+        spare = np.bincount(of[some], minlength=n) - (size + np.minimum(r, size * 4 // 3)) // 7
         slack = np.minimum(slack, spare)
         weak = np.flatnonzero((spare <= 0)[doc])
         keys.append(mix(value[weak] * _M[2] + instance[doc[weak]].astype(np.uint64)))
@@ -277,13 +276,18 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     bits = min(20, max(4, math.ceil(math.log2(max(1, total) / 200_000 + 1))))
     found = cut(shared(packed_signatures(docs, bits), parts), "shared")
     members = cut(join_small(found, cut(own, "representatives"), "doc_id"), "members")
-    size = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
-    members = cut(members.join(size, "sig"), "members")
+    before, rows = None, members.count()
+    while before is None or rows < 0.9 * before:
+        size = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
+        members = members.select("sig", "doc_id", "n", "slack").join(size, "sig")
+        enough = members.groupBy("doc_id").agg(F.count("*").alias("of"), F.first("slack").alias("least")).where("of >= least").select("doc_id")
+        members = cut(members.join(enough, "doc_id", "left_semi"), "members")
+        before, rows = rows, members.count()
     hot = members.where(F.col("c") > HOT).groupBy("doc_id").agg(F.count("*").alias("h"))
     members = members.join(hot, "doc_id", "left").where((F.col("c") <= HOT) | (F.col("h") >= F.col("slack")))
     order = Window.partitionBy("sig").orderBy("doc_id")
     members = cut(members.withColumn("place", F.row_number().over(order)).select("sig", "doc_id", "n", "place"), "members")
-    sets = cut(_sets(join_small(docs, cut(members.select("doc_id").distinct(), "candidates"), "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "shingles")
+    sets = cut(_sets(join_small(docs, cut(members.select("doc_id").distinct(), "candidates"), "doc_id", "left_semi")), "shingles")
     least, links, tried, pivots = None, None, None, 1
     while True:
         here = members.withColumn("comp", F.col("doc_id")) if least is None else members.join(least, members.doc_id == least.node, "left").select(*members.columns, F.coalesce("component", "doc_id").alias("comp"))
