@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, map_slices, partitions, saved, slices
+from .common import cut, map_slices, partitions
 from .jaccard_join import mix
 
 WIDTH, GRAM, MANY = 200, 64, 10_000
@@ -293,13 +292,13 @@ def _sort_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _with_text(docs: DataFrame, by_text: DataFrame, rows: int, how: str = "inner") -> DataFrame:
-    """Join by id and mark; ``by_text`` is broadcast if its lists have few entries in all."""
-    return docs.join(F.broadcast(by_text) if rows <= BROADCAST_ROWS // 2 else by_text, ["_id", "_mark"], how)
+def _with_text(docs: DataFrame, by_text: DataFrame, how: str = "inner") -> DataFrame:
+    """Join by id and mark; both sides may be large, so neither is broadcast by a hint."""
+    return docs.join(by_text, ["_id", "_mark"], how)
 
 
-def repeats(keyed: DataFrame) -> tuple[DataFrame, int]:
-    """_id, _mark, spans (array of first and last repeated start) of the texts that have any; the number of spans."""
+def repeats(keyed: DataFrame) -> DataFrame:
+    """_id, _mark, spans (array of first and last repeated start) of the texts that have any."""
     parts = partitions(keyed.sparkSession)
     keyed = keyed.select("_id", "_mark", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     same = Window.partitionBy("key", "d1", "d2")
@@ -311,9 +310,7 @@ def repeats(keyed: DataFrame) -> tuple[DataFrame, int]:
 
     def wanted(which: str) -> DataFrame:
         want = rows.where("place = 1 and kinds > 1").where(which)
-        entries = want.count()
-        by_text = want.groupBy("_id", "_mark").agg(F.collect_list(F.struct("key", "lo", "n")).alias("want"))
-        return _with_text(keyed, by_text, entries).dropDuplicates(["_id", "_mark"]) if entries > BROADCAST_ROWS // 2 else _with_text(keyed, by_text, entries)
+        return _with_text(keyed, want.groupBy("_id", "_mark").agg(F.collect_list(F.struct("key", "lo", "n")).alias("want")))
 
     cut_out = _cut_out(wanted(f"kinds <= {MANY}"), "key long, _id long, _mark long, lo long, n int, bytes binary", False)
     edges = cut_out.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_sort_keys, "_id long, _mark long, lo long, hi long")
@@ -322,8 +319,7 @@ def repeats(keyed: DataFrame) -> tuple[DataFrame, int]:
         strings = cut(_cut_out(wanted(f"kinds > {MANY}"), "h1 long, h2 long, _id long, _mark long, lo long", True), "strings")
         often = strings.groupBy("h1", "h2").agg(F.count("*").alias("c")).where("c > 1")
         spans = spans.unionByName(strings.join(often, ["h1", "h2"], "left_semi").select("_id", "_mark", "lo", F.col("lo").alias("hi")))
-    table = cut(spans.groupBy("_id", "_mark").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
-    return table, table.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    return cut(spans.groupBy("_id", "_mark").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("spans")), "spans")
 
 
 def kept(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -354,7 +350,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs).select("doc_id", "text", "_id", "_mark")
     # rows that repeat another row in id and text would count once below, so they are told apart
     keyed = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "_id", "_mark")
-    table, entries = repeats(keyed)
+    table = repeats(keyed)
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -365,7 +361,7 @@ def dedup(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_slices(_with_text(keyed, table, entries, "left"), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_slices(_with_text(keyed, table, "left"), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -375,8 +371,8 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     columns = docs.columns
     keyed = _keyed(docs)
-    table, entries = repeats(keyed)
-    joined = _with_text(keyed, table, entries, "left")
+    table = repeats(keyed)
+    joined = _with_text(keyed, table, "left")
 
     @F.pandas_udf("string")
     def rest(text, spans):
