@@ -8,9 +8,8 @@ set that fills m > d partitions shares m - d signatures at least with every set
 ones mainly) also give each shingle as a signature, which finds any two of them. No link is lost.
 
 Signatures travel as packed bytes, dealt by hash; a signature that only one set has goes no further. Copies count as one
-set. Sets with fewer shared signatures than m - d can have no link and are left out, again and again while
-that shortens the lists. A signature of more than ``HOT`` sets is left out for a set with fewer than m - d hot ones, for another
-one then finds each of its links. What remains is compared with the least sets of each signature
+set. Sets with fewer shared signatures than m - d can have no link and are left out. A signature of more than ``HOT`` sets is left out for a set with fewer than m - d hot ones, for another
+one then finds each of its links. Of the signatures that the same sets have, one stays. What remains is compared with the least sets of each signature
 first; only sets of a signature that are then not yet connected are compared further, so a group of copies is
 never expanded into its pairs. All comparisons are of whole sets.
 """
@@ -275,18 +274,19 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(4, math.ceil(math.log2(max(1, total) / 200_000 + 1))))
     found = cut(shared(packed_signatures(docs, bits), parts), "shared")
-    members = cut(join_small(found, cut(own, "representatives"), "doc_id"), "members")
-    before, rows = None, members.count()
-    while before is None or rows < 0.9 * before:
-        size = members.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1")
-        members = members.select("sig", "doc_id", "n", "slack").join(size, "sig")
-        enough = members.groupBy("doc_id").agg(F.count("*").alias("of"), F.first("slack").alias("least")).where("of >= least").select("doc_id")
-        members = cut(members.join(enough, "doc_id", "left_semi"), "members")
-        before, rows = rows, members.count()
-    hot = members.where(F.col("c") > HOT).groupBy("doc_id").agg(F.count("*").alias("h"))
-    members = members.join(hot, "doc_id", "left").where((F.col("c") <= HOT) | (F.col("h") >= F.col("slack")))
-    order = Window.partitionBy("sig").orderBy("doc_id")
-    members = cut(members.withColumn("place", F.row_number().over(order)).select("sig", "doc_id", "n", "place"), "members")
+    reps = cut(own, "representatives")
+    members = join_small(found, reps, "doc_id").select("sig", "doc_id")
+    members = cut(members.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1"), "members")
+    held = members.groupBy("doc_id").agg(F.count("*").alias("of"), F.sum((F.col("c") > HOT).cast("long")).alias("h"))
+    firm = cut(held.join(reps, "doc_id").where("of >= slack").select("doc_id", "n", "of", (F.col("h") >= F.col("slack")).alias("needs_hot")), "firm")
+    members = join_small(members, firm, "doc_id").where((F.col("c") <= HOT) | F.col("needs_hot")).select("sig", "doc_id")
+    # of the signatures that the same sets have, one stays
+    listed = members.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("s2")).where("c > 1")
+    one = cut(listed.groupBy("c", "s1", "s2").agg(F.min("sig").alias("sig")).select("sig"), "lists")
+    # a signature's first set is the one with most signatures, so that sets meet the same firsts again and again
+    order = Window.partitionBy("sig").orderBy(F.col("of").desc(), "doc_id")
+    members = join_small(join_small(members, one, "sig", "left_semi"), firm, "doc_id").withColumn("place", F.row_number().over(order))
+    members = cut(members.select("sig", "doc_id", "n", "place"), "members")
     sets = cut(_sets(join_small(docs, cut(members.select("doc_id").distinct(), "candidates"), "doc_id", "left_semi")), "shingles")
     least, links, tried, pivots = None, None, None, 1
     while True:
@@ -298,7 +298,7 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
                 break
         a = here.where(F.col("place") <= pivots).select("sig", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("place").alias("pa"))
         b = here.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
-        pairs = a.join(b, "sig").where("pa < pb and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b").distinct()
+        pairs = a.join(b, "sig").where("pa < pb and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = cut(_linked(pairs, sets, percent), "links")
