@@ -169,7 +169,7 @@ def packed_signatures(docs: DataFrame, bits: int) -> DataFrame:
             key, bucket = key[order] & np.uint64((1 << _KEY_BITS) - 1), bucket[order]
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[kept][of[order]]
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
-            stops = np.append(starts[1:], len(bucket))
+            stops = np.append(starts[1:], len(bucket)) if len(starts) else starts
             raw = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : _KEY_BITS // 8].tobytes()
             w = _KEY_BITS // 8
             rows_k, rows_d, width = [], [], []
