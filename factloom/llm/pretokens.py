@@ -16,6 +16,7 @@ regular expression.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -70,26 +71,28 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Cache:
-    """Values of pre-tokens, made once each; emptied when it holds ``limit`` of them, so memory stays bounded."""
+    """Values of pre-tokens, made once each; two generations of ``limit`` at most, so memory stays bounded and what recurs stays."""
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 300_000):
-        self.make, self.limit, self.held = make, limit, {}
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000):
+        self.make, self.limit, self.young, self.old = make, limit, {}, {}
 
     def get(self, words: list[str]) -> list:
-        held = self.held
-        if missing := [w for w in words if w not in held]:
-            if len(held) + len(missing) > self.limit:
-                held.clear()
-                missing = words
+        young, old = self.young, self.old
+        if missing := [w for w in words if w not in young]:
+            young.update((w, old[w]) for w in missing if w in old)
+            missing = [w for w in missing if w not in young]
             for a in range(0, len(missing), 20_000):
                 part = missing[a : a + 20_000]
-                held.update(zip(part, self.make(part), strict=True))
-        out = [held[w] for w in words]
-        if len(held) > self.limit:
-            held.clear()
+                young.update(zip(part, self.make(part), strict=True))
+        out = [young[w] for w in words]
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
         return out
 
 
+_END = ".,;:!?"
+
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -106,7 +109,18 @@ class Encoder:
         own.no_truncation()
         own.no_padding()
         self.kind = kind
-        self.cache = Cache(lambda ws: [np.asarray(e.ids, "<u4").tobytes() for e in own.encode_batch_fast(ws, add_special_tokens=False)])
+        stems = Cache(lambda ws: [array("I", e.ids).tobytes() for e in own.encode_batch_fast(ws, add_special_tokens=False)])
+
+        def encode(words: list[str]) -> list[bytes]:
+            # both tokenizers cut between a letter and these marks, so a word is encoded once, whatever mark follows it
+            cut = [w.rstrip(_END) for w in words]
+            cut = [c if c[-1:].isalpha() else w for c, w in zip(cut, words, strict=True)]
+            ends = [w[len(c) :] for c, w in zip(cut, words, strict=True)]
+            parts = list(dict.fromkeys([*cut, *ends]))
+            known = dict(zip(parts, stems.get(parts), strict=True))
+            return [known[c] + known[e] for c, e in zip(cut, ends, strict=True)]
+
+        self.cache = Cache(encode, 200_000)
 
     @classmethod
     def of(cls, path: str, kind: str) -> "Encoder":
