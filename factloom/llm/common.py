@@ -94,13 +94,13 @@ def flat(array: pa.Array | pa.ChunkedArray) -> pa.Array:
     return array.combine_chunks() if isinstance(array, pa.ChunkedArray) else array
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str, column: str = "text") -> DataFrame:
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch]], schema: str, column: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded size; ``make`` runs once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, limit):
                 out = f(part)
                 if isinstance(out, pa.RecordBatch):
                     yield out
