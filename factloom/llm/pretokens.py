@@ -58,7 +58,7 @@ def split(texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, list[str]
             parts = pa.array([cut(t) if o else r for r, t, o in zip(rows, slow, odd.to_pylist(), strict=True)], pa.list_(pa.string()))
     values = parts.flatten().dictionary_encode()
     offsets = parts.offsets.to_numpy().astype(np.int64)
-    return values.indices.to_numpy(zero_copy_only=False), offsets - offsets[0], values.dictionary.to_pylist()
+    return values.indices.to_numpy(zero_copy_only=False), offsets - offsets[0], values.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
