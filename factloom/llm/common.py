@@ -30,10 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing.
+
+    Nothing reads the write's shuffles again, but Spark deletes their files only when the driver collects its garbage: it does here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     _saved.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
