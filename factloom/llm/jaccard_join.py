@@ -8,10 +8,12 @@ set that fills m > d partitions shares m - d signatures at least with every set
 ones mainly) also give each shingle as a signature, which finds any two of them. No link is lost.
 
 Signatures travel as packed bytes, dealt by hash; a signature that only one set has goes no further. Copies count as one
-set. Sets with fewer shared signatures than m - d can have no link and are left out. A signature of more than ``HOT`` sets is left out for a set with fewer than m - d hot ones, for another
-one then finds each of its links. Of the signatures that the same sets have, one stays. What remains is compared with the least sets of each signature
-first; only sets of a signature that are then not yet connected are compared further, so a group of copies is
-never expanded into its pairs. All comparisons are of whole sets.
+set. In an instance, linked sets share m - d signatures at least (or one, if that is none), so a set with fewer shared ones has no link
+there, and in the order of (number of sets, signature) their first common one is followed by m - d - 1 more in either: a set keeps
+only its rarest signatures, all but the last m - d - 1, and two sets meet at one only if that many follow in both. Of the signatures
+that the same sets keep, the first stays. What remains is compared with the first sets of each signature, more of them in each round;
+only sets of a signature that are then not yet connected are compared further, so a group of copies is never expanded into its
+pairs. All comparisons are of whole sets.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, flat, id_and_text, join_small, map_slices, partitions
+from .common import cut, flat, id_and_text, join_small, map_slices, partitions, release, saved
 from .components import components
 
-WORDS, HOT = 5, 16
+WORDS = 5
+#: First sets of a signature that a round compares: as many times those of the round before.
+MORE = 16
 #: Second-level partitions of a group; groups for 100 shingles of a band's largest set.
 N2, GROUPS = 2, 30
 _KEY_BITS = 40
@@ -98,13 +102,15 @@ def bands(most: int) -> np.ndarray:
 
 
 def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signatures, their text) and, for each text, how many of its signatures each linked set shares at least."""
+    """(signatures, their text) and, for each text, how many of its signatures each linked set shares at least in its instance of
+    even and of odd number. The last bit of a signature is that of its instance's number."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     tops = bands(int(size.max(initial=1)))
     own = np.searchsorted(tops, size)
     doc = np.repeat(np.arange(n), size)
-    keys, docs, slack = [], [], np.full(n, 1 << 40, np.int64)
+    keys, docs, slack = [], [], np.ones((n, 2), np.int64)
+    of_instance = lambda key, number: (key & ~np.uint64(1)) | (number.astype(np.uint64) & np.uint64(1))
     element = mix(value ^ _M[4])
     low, high = (value & np.uint64(0xFFFFFFFF)), (value >> np.uint64(33)).astype(np.int64) % N2
     for up in (0, 1):
@@ -121,28 +127,29 @@ def signatures(value: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         of = np.repeat(np.arange(n), n1 * N2)
         name = mix(((np.arange(cells) - N2 * base[of]).astype(np.uint64) << np.uint64(20)) + instance[of].astype(np.uint64))
         some = np.flatnonzero(held)  # subsets of N2 - 1 = 1 partition, of one shingle at least
-        keys.append(mix(total[some] * _M[0] + name[some]))
+        keys.append(of_instance(mix(total[some] * _M[0] + name[some]), instance[of[some]]))
         docs.append(of[some])
         spare = np.bincount(of[some], minlength=n) - (size + np.minimum(r, size * 4 // 3)) // 7
-        slack = np.minimum(slack, spare)
+        slack[np.arange(n), instance & 1] = np.maximum(spare, 1)
         weak = np.flatnonzero((spare <= 0)[doc])
-        keys.append(mix(value[weak] * _M[2] + instance[doc[weak]].astype(np.uint64)))
+        keys.append(of_instance(mix(value[weak] * _M[2] + instance[doc[weak]].astype(np.uint64)), instance[doc[weak]]))
         docs.append(doc[weak])
     return np.concatenate(keys), np.concatenate(docs), slack
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), d1, d2 (digest of the set), slack."""
+    """doc_id, n (shingles), d1, d2 (digest of the set), even, odd (signatures that linked sets share at least)."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             value, offsets = shingles(batch.column("text"))
             d1, d2 = digests(value, offsets)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(d1), pa.array(d2), pa.array(signatures(value, offsets)[2])], ["doc_id", "n", "d1", "d2", "slack"])
+            even, odd = signatures(value, offsets)[2].T
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(d1), pa.array(d2), pa.array(even), pa.array(odd)], ["doc_id", "n", "d1", "d2", "even", "odd"])
 
         return run
 
-    return map_slices(docs, make, "doc_id long, n long, d1 long, d2 long, slack long")
+    return map_slices(docs, make, "doc_id long, n long, d1 long, d2 long, even long, odd long")
 
 
 def packed_signatures(docs: DataFrame, bits: int) -> DataFrame:
@@ -269,42 +276,46 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     parts = partitions(docs.sparkSession)
     info = cut(describe(docs), "sets")
     reps = info.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    known = cut(info.join(reps, ["n", "d1", "d2"], "left").select("doc_id", "n", "slack", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    own = known.where("doc_id = rep and n > 0").groupBy("doc_id").agg(F.max("n").alias("n"), F.min("slack").alias("slack"))
+    known = cut(info.join(reps, ["n", "d1", "d2"], "left").select("doc_id", "n", "even", "odd", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    own = known.where("doc_id = rep and n > 0").groupBy("doc_id").agg(F.max("n").alias("n"), F.min("even").alias("even"), F.min("odd").alias("odd"))
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(4, math.ceil(math.log2(max(1, total) / 200_000 + 1))))
-    found = cut(shared(packed_signatures(docs, bits), parts), "shared")
+    found, found_at = saved(shared(packed_signatures(docs, bits), parts), "shared")
     reps = cut(own, "representatives")
-    members = join_small(found, reps, "doc_id").select("sig", "doc_id")
-    members = cut(members.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1"), "members")
-    held = members.groupBy("doc_id").agg(F.count("*").alias("of"), F.sum((F.col("c") > HOT).cast("long")).alias("h"))
-    firm = cut(held.join(reps, "doc_id").where("of >= slack").select("doc_id", "n", "of", (F.col("h") >= F.col("slack")).alias("needs_hot")), "firm")
-    members = join_small(members, firm, "doc_id").where((F.col("c") <= HOT) | F.col("needs_hot")).select("sig", "doc_id")
-    # of the signatures that the same sets have, one stays
-    listed = members.groupBy("sig").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("s2")).where("c > 1")
-    one = cut(listed.groupBy("c", "s1", "s2").agg(F.min("sig").alias("sig")).select("sig"), "lists")
+    members = join_small(found, reps, "doc_id").select("sig", "doc_id", F.col("n").cast("int").alias("n"), F.when(F.col("sig") % 2 == 0, F.col("even")).otherwise(F.col("odd")).cast("int").alias("least"))
+    members, members_at = saved(members.withColumn("c", F.count("*").over(Window.partitionBy("sig")).cast("int")).where("c > 1"), "members")
+    release(docs.sparkSession, found_at)
+    # left: its signatures in the instance from this one on; the rarest come first
+    instance = Window.partitionBy("doc_id", F.col("sig") % 2)
+    members = members.withColumn("of", F.count("*").over(instance).cast("int")).where("of >= least").withColumn("left", (F.col("of") - F.row_number().over(instance.orderBy("c", "sig")) + 1).cast("int"))
+    firm, firm_at = saved(members.where("left >= least"), "firm")
+    release(docs.sparkSession, members_at)
+    # of the signatures that the same sets keep, the first stays
+    listed = firm.groupBy("sig").agg(F.min("c").alias("c"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("s2")).where("k > 1")
+    one = cut(listed.groupBy("k", "s1", "s2").agg(F.min(F.struct("c", "sig")).alias("first")).select("first.sig"), "lists")
     # a signature's first set is the one with most signatures, so that sets meet the same firsts again and again
     order = Window.partitionBy("sig").orderBy(F.col("of").desc(), "doc_id")
-    members = join_small(join_small(members, one, "sig", "left_semi"), firm, "doc_id").withColumn("place", F.row_number().over(order))
-    members = cut(members.select("sig", "doc_id", "n", "place"), "members")
+    members = join_small(firm, one, "sig", "left_semi").withColumn("place", F.row_number().over(order))
+    members = cut(members.select("sig", "doc_id", "n", "least", "left", "place"), "members")
+    release(docs.sparkSession, firm_at)
     sets = cut(_sets(join_small(docs, cut(members.select("doc_id").distinct(), "candidates"), "doc_id", "left_semi")), "shingles")
     least, links, tried, pivots = None, None, None, 1
     while True:
         here = members.withColumn("comp", F.col("doc_id")) if least is None else members.join(least, members.doc_id == least.node, "left").select(*members.columns, F.coalesce("component", "doc_id").alias("comp"))
         if least is not None:
-            open_ = here.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("place").alias("last")).where(F.col("low") != F.col("high")).where(F.col("last") > pivots // HOT)
+            open_ = here.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("place").alias("last")).where(F.col("low") != F.col("high")).where(F.col("last") > pivots // MORE)
             here = cut(here.join(open_.select("sig"), "sig", "left_semi"), "open")
             if here.isEmpty():
                 break
-        a = here.where(F.col("place") <= pivots).select("sig", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), F.col("place").alias("pa"))
-        b = here.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
-        pairs = a.join(b, "sig").where("pa < pb and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        a = here.where(F.col("place") <= pivots).select("sig", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("least").alias("ta"), F.col("left").alias("la"), F.col("comp").alias("ca"), F.col("place").alias("pa"))
+        b = here.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("least").alias("tb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
+        pairs = a.join(b, "sig").where("pa < pb and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb) and least(la, lb) >= greatest(ta, tb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = cut(_linked(pairs, sets, percent), "links")
         links = new if links is None else links.unionByName(new)
         least = components(links)
-        pivots *= HOT
+        pivots *= MORE
     out = known if least is None else known.join(least, known.rep == least.node, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), (F.col("rep") if least is None else F.coalesce("component", "rep")).alias("component_id"))
 
