@@ -13,7 +13,8 @@ there, and in the order of (number of sets, signature) their first common one is
 only its rarest signatures, all but the last m - d - 1, and two sets meet at one only if that many follow in both. Of the signatures
 that the same sets keep, the first stays. What remains is compared with the first sets of each signature, more of them in each round;
 only sets of a signature that are then not yet connected are compared further, so a group of copies is never expanded into its
-pairs. All comparisons are of whole sets.
+pairs. Before that, pairs go whose parities (a bit for each of 256 parts of the domain) differ more than linked sets can. All
+comparisons are of whole sets.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from .components import components
 WORDS = 5
 #: First sets of a signature that a round compares: as many times those of the round before.
 MORE = 16
+PARITY = ["p0", "p1", "p2", "p3"]
 #: Second-level partitions of a group; groups for 100 shingles of a band's largest set.
 N2, GROUPS = 2, 30
 _KEY_BITS = 40
@@ -239,15 +241,20 @@ def shared(packed: DataFrame, parts: int, held_most: int = 2_000_000) -> DataFra
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """doc_id, shingles, p0 .. p3: of each of 256 parts of the domain, whether the set has an odd number of its shingles."""
+
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             value, offsets = shingles(batch.column("text"))
             data = value.astype("<u8").tobytes()
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([data[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())], ["doc_id", "shingles"])
+            n = len(offsets) - 1
+            cell = 256 * np.repeat(np.arange(n), np.diff(offsets)) + (value >> np.uint64(56)).astype(np.int64)
+            odd = np.packbits(np.bincount(cell, minlength=256 * n).astype(np.uint8) & 1).view("<i8").reshape(n, 4)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([data[8 * a : 8 * b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary()), *(pa.array(np.ascontiguousarray(c)) for c in odd.T)], ["doc_id", "shingles", *PARITY])
 
         return run
 
-    return map_slices(docs, make, "doc_id long, shingles binary")
+    return map_slices(docs, make, "doc_id long, shingles binary, p0 long, p1 long, p2 long, p3 long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,6 +306,9 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = cut(members.select("sig", "doc_id", "n", "least", "left", "place"), "members")
     release(docs.sparkSession, firm_at)
     sets = cut(_sets(join_small(docs, cut(members.select("doc_id").distinct(), "candidates"), "doc_id", "left_semi")), "shingles")
+    # two sets differ in one shingle at least for each part whose parity differs, and linked ones in a seventh of their sizes at most
+    members = cut(join_small(members, cut(sets.select("doc_id", *PARITY), "parities"), "doc_id"), "members")
+    differ = " + ".join(f"bit_count(a{p} ^ b{p})" for p in PARITY)
     least, links, tried, pivots = None, None, None, 1
     while True:
         here = members.withColumn("comp", F.col("doc_id")) if least is None else members.join(least, members.doc_id == least.node, "left").select(*members.columns, F.coalesce("component", "doc_id").alias("comp"))
@@ -307,9 +317,9 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
             here = cut(here.join(open_.select("sig"), "sig", "left_semi"), "open")
             if here.isEmpty():
                 break
-        a = here.where(F.col("place") <= pivots).select("sig", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("least").alias("ta"), F.col("left").alias("la"), F.col("comp").alias("ca"), F.col("place").alias("pa"))
-        b = here.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("least").alias("tb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), F.col("place").alias("pb"))
-        pairs = a.join(b, "sig").where("pa < pb and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb) and least(la, lb) >= greatest(ta, tb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        a = here.where(F.col("place") <= pivots).select("sig", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("least").alias("ta"), F.col("left").alias("la"), F.col("comp").alias("ca"), F.col("place").alias("pa"), *(F.col(p).alias(f"a{p}") for p in PARITY))
+        b = here.select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("least").alias("tb"), F.col("left").alias("lb"), F.col("comp").alias("cb"), F.col("place").alias("pb"), *(F.col(p).alias(f"b{p}") for p in PARITY))
+        pairs = a.join(b, "sig").where("pa < pb and ca != cb and 4 * least(na, nb) >= 3 * greatest(na, nb) and least(la, lb) >= greatest(ta, tb)").where(f"7 * ({differ}) <= na + nb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = cut(_linked(pairs, sets, percent), "links")
