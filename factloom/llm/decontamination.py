@@ -2,9 +2,8 @@
 
 Terms are words: those of the benchmark have a coordinate each, all others share 4,096 hashed ones. Document frequencies
 are counted over all documents. A passage is ``2 * UNIT`` words, one begins every ``UNIT`` words. A randomised SVD of
-TF-IDF passages (those of about ``sample`` documents, picked by a hash of their id, and the benchmark items, which
-weigh as much as all of these) gives ``rank`` directions: tasks multiply their rows, partial products are summed on the
-executors by blocks of terms. Every passage of every document is projected; an item is a candidate where the cosine is at
+TF-IDF passages (all passages of all documents, and the benchmark items, which weigh as much as all of these) gives
+``rank`` directions: tasks multiply their rows, partial products are summed on the executors by blocks of terms. Every passage of every document is projected; an item is a candidate where the cosine is at
 least ``cosine``. Candidates are checked on whole words around the passage: longest common subsequence with the item,
 coverage of the item's words by IDF weight, and the same subsequence check for its answer (a column ``answer``, or the item's
 last sentence).
@@ -28,6 +27,8 @@ from .pretokens import Cache, ragged, split
 UNIT, HASHED, BLOCK = 16, 4096, 256
 #: Bytes of coded words worked on at once; passages and items of one block of the search.
 CODED_BYTES, PASSAGES, ITEMS = 2 << 20, 4096, 1024
+#: Occurrences of a term that are summed together.
+GROUP = 32
 _WORD = re.compile(r"\w+")
 _caches: dict[int, Cache] = {}
 
@@ -164,32 +165,87 @@ def _product(rows: list[tuple[np.ndarray, np.ndarray]], weights: np.ndarray, idf
         out[term[cuts]] += scale * np.add.reduceat(z[row[order]] * value[order, None], cuts, axis=0)
 
 
-def basis(sample: DataFrame, items: Items, idf: np.ndarray, passages: int, rank: int, seed: int = 11) -> np.ndarray:
-    """Terms x rank: leading right singular vectors, by a randomised range finder with one power step."""
+def _row_sums(table: np.ndarray, weights: np.ndarray, step: int = 512) -> np.ndarray:
+    """Rows of ``weights`` summed over each row of indices in ``table``."""
+    out = np.empty((len(table), weights.shape[1]), np.float32)
+    held = np.empty((step, weights.shape[1]), np.float32)
+    for k in range(0, len(table), step):
+        part, rows = table[k : k + step], out[k : k + step]
+        np.take(weights, part[:, 0], 0, rows, "clip")
+        for j in range(1, table.shape[1]):
+            rows += np.take(weights, part[:, j], 0, held[: len(rows)], "clip")
+    return out
+
+
+def _passages_product(terms: np.ndarray, offsets: np.ndarray, weights: np.ndarray, idf: np.ndarray, out: np.ndarray) -> None:
+    """Add A' A weights to ``out`` for the TF-IDF rows of unit length of all passages; ``weights`` are those times IDF, and a last row of 0.
+
+    Words are summed by units, and a passage is a unit and the next one of its text; back from passages to terms likewise.
+    """
+    none = len(idf)
+    first, doc = _units(terms, offsets)
+    if not len(first):
+        return
+    at = first[:, None] + np.arange(UNIT)
+    held = at < offsets[doc + 1][:, None]
+    word = np.where(held, terms[np.minimum(at, len(terms) - 1)], none).astype(terms.dtype)
+    joined = np.flatnonzero(doc[1:] == doc[:-1])
+    # a term that a passage holds c times adds (c IDF)^2 to the square of its length: 1, 3, 5, ... for each time
+    both = np.full((len(first), 2 * UNIT), none, terms.dtype)
+    both[:, :UNIT] = word
+    both[joined, UNIT:] = word[joined + 1]
+    both.sort(axis=1)
+    both = np.ascontiguousarray(both.T)
+    square = np.append(idf, 0.0) ** 2
+    norm, times = square[both[0]], np.zeros(len(first), np.int64)
+    for j in range(1, 2 * UNIT):
+        times = (times + 1) * (both[j] == both[j - 1])
+        norm += square[both[j]] * (2 * times + 1)
+    sums = _row_sums(word.astype(np.int64), weights)
+    rows = sums.copy()
+    rows[joined] += sums[joined + 1]
+    rows /= np.maximum(norm, 1e-12)[:, None].astype(np.float32)
+    back = np.vstack([rows, np.zeros((1, rows.shape[1]), np.float32)])
+    back[joined + 1] += rows[joined]
+    # occurrences by term, each term's filled up to whole groups with the row of 0
+    unit, term = np.nonzero(held)[0], word[held]
+    order = np.argsort(term, kind="stable")
+    count = np.bincount(term, minlength=none)
+    groups = -(-count // GROUP)
+    slots = np.full(GROUP * groups.sum(), len(rows), np.int64)
+    slots[ragged(GROUP * (np.cumsum(groups) - groups), count)] = unit[order]
+    found = np.flatnonzero(count)
+    sums = np.add.reduceat(_row_sums(slots.reshape(-1, GROUP), back), (np.cumsum(groups) - groups)[found], axis=0)
+    out[found] += idf[found, None] * sums
+
+
+def basis(texts: DataFrame, items: Items, idf: np.ndarray, passages: int, rank: int, seed: int = 11) -> np.ndarray:
+    """Terms x rank: leading right singular vectors, by a randomised range finder with one power step over all texts."""
     wide = min(rank + 8, items.terms)
     own = [(items.coded(w), np.array([0])) for w in items.words]
     scale = max(1.0, passages / max(1, len(own)))
 
     def multiplied(weights: np.ndarray) -> np.ndarray:
+        scaled = np.vstack([weights * idf[:, None], np.zeros((1, weights.shape[1]))]).astype(np.float32)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((items.terms, weights.shape[1]))
+            out = np.zeros((items.terms, scaled.shape[1]))
             for batch in batches:
-                for part in slices(batch, "terms", CODED_BYTES // 8):
-                    terms, offsets = words_of(part.column("terms"), items.kind)
-                    _product([(terms, _units(terms, offsets)[0][::2])], weights, idf, out)
+                for part in slices(batch, "terms", CODED_BYTES // 2):
+                    _passages_product(*words_of(part.column("terms"), items.kind), scaled, idf, out)
             starts = range(0, items.terms, BLOCK)
+            out = out.astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(list(starts), pa.int64()), pa.array([out[a : a + BLOCK].tobytes() for a in starts], pa.binary())], ["block", "part"])
 
-        def total(key, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def total(key, df: pd.DataFrame) -> pd.DataFrame:
             s = None
-            for part in parts:
-                for x in part["part"]:
-                    x = np.frombuffer(x)
-                    s = x.copy() if s is None else s + x
-            yield pd.DataFrame({"block": [key[0]], "part": [s.tobytes()]})
+            for x in df["part"]:
+                x = np.frombuffer(x, np.float32).astype(float)
+                s = x if s is None else s + x
+            return pd.DataFrame({"block": [key[0]], "part": [s.tobytes()]})
 
         out = np.zeros((items.terms, weights.shape[1]))
-        for block, part in sample.mapInArrow(run, "block long, part binary").groupBy("block").applyInPandas(lambda key, df: next(total(key, iter([df]))), "block long, part binary").collect():
+        for block, part in texts.mapInArrow(run, "block long, part binary").groupBy("block").applyInPandas(total, "block long, part binary").collect():
             out[block : block + BLOCK] = np.frombuffer(bytes(part)).reshape(-1, weights.shape[1])
         _product(own, weights, idf, out, scale)
         return out
@@ -218,7 +274,7 @@ def _masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.45, share: float = 0.6, answer_share: float = 0.5, sure: float = 0.8, sample: int = 2000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.45, share: float = 0.6, answer_share: float = 0.5, sure: float = 0.8) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of the best passage, for each pair that passes the checks.
 
     A pair passes if its common subsequence and its weighted coverage reach ``share`` of the item, and the answer's
@@ -232,10 +288,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float
     texts = cut(coded(docs, items), "coded")
     df, total = frequencies(texts, items)
     idf = np.log((total + 1) / (df + 1)) + 0.1
-    every = max(1, total // sample)
-    picked = cut(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), "sample")
-    passages = picked.agg(F.coalesce(F.sum(F.ceil(F.octet_length("terms") / (2 * UNIT * int(items.kind[-1])))), F.lit(0))).first()[0]
-    vectors = (basis(picked, items, idf, int(passages), rank) * idf[:, None]).astype(np.float32)
+    passages = texts.agg(F.coalesce(F.sum(F.ceil(F.octet_length("terms") / (UNIT * int(items.kind[-1])))), F.lit(0))).first()[0]
+    vectors = (basis(texts, items, idf, int(passages), rank) * idf[:, None]).astype(np.float32)
     own = [items.coded(w) for w in items.words]
     known = np.stack([vectors[c].sum(0) for c in own])
     known /= np.maximum(np.linalg.norm(known, axis=1, keepdims=True), 1e-12)

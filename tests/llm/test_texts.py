@@ -109,6 +109,29 @@ def test_decontamination(spark, docs):
     assert decontamination.leaks(docs.limit(0), bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_directions_are_of_all_passages(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 16, 17, 40, 200, 32]
+    terms, offsets = rng.integers(0, 40, sum(sizes)).astype("<u2"), np.concatenate([[0], np.cumsum(sizes)])
+    idf = rng.uniform(0.1, 2, 40)
+    rows = []
+    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+        for k in range(a, b, decontamination.UNIT):
+            x = np.bincount(terms[k : min(b, k + 2 * decontamination.UNIT)], minlength=40) * idf
+            rows.append(x / np.linalg.norm(x))
+    weights, out = rng.normal(size=(40, 5)), np.zeros((40, 5))
+    scaled = np.vstack([weights * idf[:, None], np.zeros((1, 5))]).astype(np.float32)
+    decontamination._passages_product(terms, offsets, scaled, idf, out)
+    assert np.allclose(out, np.array(rows).T @ (np.array(rows) @ weights), atol=1e-4)
+
+    seen = []
+    basis = decontamination.basis
+    monkeypatch.setattr(decontamination, "basis", lambda texts, *rest: seen.append(texts.count()) or basis(texts, *rest))
+    docs = spark.range(4200).selectExpr("id as doc_id", "concat('word', id % 50, if(id % 100 = 0, ' a b c d e f', ' g')) as text")
+    bench = spark.createDataFrame([(1, "a b c d e f", None)], "item_id long, text string, answer string")
+    assert decontamination.leaks(docs, bench, rank=8).count() == 42 and seen == [4200]
+
+
 def test_common_subsequence():
     random.seed(6)
     for _ in range(50):
