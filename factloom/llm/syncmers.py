@@ -2,10 +2,10 @@
 
 The words of a text are hashed; a k-mer is a run of ``K`` words, its inner substrings are its runs of ``S`` words. A k-mer
 is a closed syncmer if the least hash of its inner substrings is that of the first or the last: a matter of the k-mer
-alone, so an anchor that two texts share is chosen in both, whatever surrounds it. A fingerprint holds the ``SIZE``
-least hashes of all distinct syncmers of the whole text; likeness is the share of the least ``SIZE`` of two
-fingerprints' union that both hold, an estimate of the Jaccard similarity of the texts' anchors (exact
-while they are few). A text of fewer than K words has one anchor, the hash of the text; an empty text has none.
+alone, so an anchor that two texts share is chosen in both, whatever surrounds it. A fingerprint holds
+the hashes of all closed syncmers of the whole text in the text's order, and as many positions (the number of each one's
+first word), so that anchors can be matched by position; likeness is the Jaccard similarity of two texts' sets of anchors.
+A text of fewer than K words has one anchor, the hash of the text at 0; an empty text has none.
 """
 
 from __future__ import annotations
@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, partitions
 
-K, S, SIZE = 6, 2, 64
+K, S = 6, 2
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add ``out``: ascending hashes of the fingerprint of column ``text``."""
-    w, g = f"_{out}_w", f"_{out}_g"
+    """Add ``out``, the hashes of all anchors of column ``text`` in its order, and ``out``_at, their first words' numbers."""
+    w, g, at = f"_{out}_w", f"_{out}_g", f"{out}_at"
     df = df.withColumn(w, F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: F.xxhash64(x)))
     df = df.withColumn(g, F.expr(f"case when size({w}) < {K} then cast(array() as array<bigint>) else transform(sequence(0, size({w}) - {S}), i -> xxhash64(get({w}, i), get({w}, i + 1))) end"))
     last = K - S
     inner = ", ".join(f"get({g}, i + {j})" for j in range(1, last))
-    anchors = f"transform(filter(sequence(0, size({g}) - {last + 1}), i -> least(get({g}, i), get({g}, i + {last})) <= least({inner})), i -> xxhash64(get({g}, i), get({g}, i + {last // 2}), get({g}, i + {last})))"
-    return df.withColumn(out, F.expr(f"case when {text} = '' then cast(array() as array<bigint>) when size({g}) = 0 then array(xxhash64({text})) else slice(array_sort(array_distinct({anchors})), 1, {SIZE}) end")).drop(w, g)
+    chosen = f"filter(sequence(0, size({g}) - {last + 1}), i -> least(get({g}, i), get({g}, i + {last})) <= least({inner}))"
+    df = df.withColumn(at, F.expr(f"case when {text} = '' then cast(array() as array<int>) when size({g}) = 0 then array(0) else {chosen} end"))
+    return df.withColumn(out, F.expr(f"case when size({g}) = 0 then transform({at}, i -> xxhash64({text})) else transform({at}, i -> xxhash64(get({g}, i), get({g}, i + {last // 2}), get({g}, i + {last}))) end")).drop(w, g)
 
 
 def hexed(anchors: Column) -> Column:
@@ -34,9 +35,8 @@ def hexed(anchors: Column) -> Column:
 
 
 def likeness(a: str, b: str) -> Column:
-    """0 to 1; two empty fingerprints are alike."""
-    least = f"slice(array_sort(array_union({a}, {b})), 1, {SIZE})"
-    return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1.0d when size({a}) = 0 or size({b}) = 0 then 0.0d else cast(size(array_intersect(array_intersect({least}, {a}), {b})) as double) / size({least}) end")
+    """0 to 1, over the whole sets of anchors; two empty fingerprints are alike."""
+    return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1.0d else cast(size(array_intersect({a}, {b})) as double) / size(array_union({a}, {b})) end")
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, positions, edited_positions of every row.
 
     The edited text's last floor(n_chars / 3) code points are the first as many (or all) of the next document's text.
     A null text is the empty text. Rows that share a ``doc_id`` have one next document; of the rows of a next document's id the
@@ -67,8 +67,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     by_next = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), "chars")
     small = order.count() <= BROADCAST_ROWS
     heads = with_anchors(docs.join(F.broadcast(by_next) if small else by_next, "doc_id"), "text", "next_anchors")
-    heads = heads.select(F.col("prev_id").alias("doc_id"), F.struct(F.expr("substring(text, 1, chars)").alias("head"), F.col("next_anchors")).alias("next")).groupBy("doc_id").agg(F.min("next").alias("next"))
+    heads = heads.select(F.col("prev_id").alias("doc_id"), F.struct(F.expr("substring(text, 1, chars)").alias("head"), F.array_distinct("next_anchors").alias("next_anchors")).alias("next")).groupBy("doc_id").agg(F.min("next").alias("next"))
     out = docs.join(heads, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
     out = out.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars - floor(n_chars / 3) as int)), substring(coalesce(next.head, ''), 1, cast(floor(n_chars / 3) as int)))"))
     out = with_anchors(with_anchors(out, "text", "own"), "edited", "other").withColumn("following", F.coalesce("next.next_anchors", F.expr("cast(array() as array<bigint>)")))
-    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), hexed(F.col("own")).alias("fingerprint"), hexed(F.col("other")).alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "following").alias("near_next"))
+    return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), hexed(F.col("own")).alias("fingerprint"), hexed(F.col("other")).alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "following").alias("near_next"), F.col("own_at").alias("positions"), F.col("other_at").alias("edited_positions"))

@@ -182,6 +182,42 @@ def test_syncmers(docs):
     assert got[10**6].fingerprint == "" and syncmers.fingerprint(docs.limit(0)).count() == 0
 
 
+def test_syncmers_are_all_kept(spark):
+    random.seed(3)
+    word = lambda n: [f"w{random.randrange(400)}" for _ in range(n)]
+    shared = word(100)
+    texts = {1: word(900) + shared + word(1200), 2: word(1500) + shared + word(700), 3: ["same"] * 40 + word(300), 4: ["short", "one"], 5: []}
+    got = {r.doc_id: r for r in syncmers.fingerprint(spark.createDataFrame([(d, " ".join(t)) for d, t in texts.items()], "doc_id long, text string")).collect()}
+
+    def hashes(rows, kind):
+        rows = sorted(set(rows))
+        cols = [f"c{k}" for k in range(len(rows[0]))]
+        df = spark.createDataFrame(rows, ", ".join(f"{c} {kind}" for c in cols))
+        return {tuple(r)[:-1]: r.h for r in df.selectExpr("*", f"xxhash64({', '.join(cols)}) as h").collect()}
+
+    edited = {}
+    for d, t in texts.items():
+        t, after = " ".join(t), " ".join(texts[d - 1 or max(texts)])
+        k = len(t) // 3
+        edited[d, 1], edited[d, 0] = (t[: len(t) - k] + after[:k]).split(), t.split()
+    of_word = hashes([(w,) for t in edited.values() for w in t], "string")
+    pairs = {x: [(of_word[a,], of_word[b,]) for a, b in zip(t, t[1:], strict=False)] for x, t in edited.items()}
+    of_pair = hashes([p for ps in pairs.values() for p in ps], "long")
+    inner = {x: [of_pair[p] for p in ps] for x, ps in pairs.items()}
+    chosen = {x: [i for i in range(len(g) - 4) if min(g[i : i + 5]) in (g[i], g[i + 4])] for x, g in inner.items()}
+    of_anchor = hashes([(inner[x][i], inner[x][i + 2], inner[x][i + 4]) for x, at in chosen.items() for i in at], "long")
+    anchors = {x: [of_anchor[inner[x][i], inner[x][i + 2], inner[x][i + 4]] for i in at] for x, at in chosen.items()}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    text = lambda a: "".join(f"{x % 2**64:016x}" for x in a)
+    for d in (1, 2, 3):
+        own, other = anchors[d, 0], anchors[d, 1]
+        assert (got[d].positions, got[d].edited_positions) == (chosen[d, 0], chosen[d, 1])
+        assert (got[d].fingerprint, got[d].edited_fingerprint) == (text(own), text(other))
+        assert got[d].near_edited == like(own, other) and (d == 1 or got[d].near_next == like(own, anchors[d - 1, 0]))
+    assert len(anchors[1, 0]) > 500 and got[2].near_next > 0
+    assert (got[4].positions, len(got[4].fingerprint), got[5].positions, got[5].fingerprint) == ([0], 16, [], "")
+
+
 PAGE = """<html><head><title>no</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies.</div>
 <main><article><h1>Title &amp; more</h1><p>First,   long paragraph of the article; with marks.<p>Second one, also long enough, and <b>bold</b>&nbsp;text.</p><div class="ad">Buy!</div><ul><li>point one</li></ul></article>
 <section id="comments"><p>I like it, a lot, really, truly.</p></section></main><aside>More</aside><form><p>Name</p></form><script>var t="</p>";</script><footer>&copy; x</footer></body></html>"""
