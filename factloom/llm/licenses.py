@@ -1,12 +1,14 @@
 """Licences by canonical digest: entire texts, hash-joined to the digests of known ones.
 
-A text's canonical form has lower case, no lines that only state a copyright, one spelling of equivalent words, and one
+A text's canonical form has lower case, no copyright statements that begin a line, one spelling of equivalent words, and one
 blank for any run of other characters than letters and digits. Entire texts are whole documents and whole lines
 (a notice is a line). Their SHA-256 digests are joined to those of the known texts, which go through the same form.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
     ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 ]
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License"], "0BSD": ["BSD Zero Clause License"]}
+#: Files of ``license_texts``: whole texts as they are published.
+WHOLE = ["0BSD", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-1.1", "MPL-2.0", "Unlicense", "Zlib"]
+KNOWN += [(name, pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()) for name in WHOLE]
+KNOWN += [(name, f"{title}\n{text}") for name, text in KNOWN if len(text) > 500 for title in TITLES.get(name, [])]
 SPELLINGS = [
     (r"\blicen[cs]e([sd]?)\b", "license$1"),
     (r"\bsub-license", "sublicense"),
@@ -37,7 +44,8 @@ SPELLINGS = [
     (r"\bnon-commercial\b", "noncommercial"),
     (r"https?://", ""),
 ]
-_COPYRIGHT = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+# a line's copyright statement, up to a notice that follows in the line; a wrapped sentence's "copyright notice" is none
+_COPYRIGHT = r"(?m)^[ \t]*(copyright(?![ \t]*$|[ \t]+(notice|holder|owner|law|licen|interest|act|and|or|in|statement|treaty)s?\b)|\(c\)(?=[ \t]*(copyright|\d{4}))|©|all rights reserved)[^\n]*?(?=\b(licen[cs]ed?|released|permission|this (project|work|software|file))\b|$)"
 
 
 def canonical(text: Column) -> Column:

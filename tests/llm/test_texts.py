@@ -234,3 +234,12 @@ def test_licenses(spark):
     rows = [(1, "Copyright (c) 2020 Someone\n" + mit.upper().replace(",", " ,")), (2, "x y\nReleased under the MIT licence\nmore"), (3, None), (4, "a permission note")]
     got = {r.doc_id: (r.text_license, r.line_licenses, r.n_license_lines) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", "", 0), 2: (None, "MIT", 1), 3: (None, "", 0), 4: (None, "", 0)}
+
+
+def test_license_files(spark):
+    texts = dict(licenses.KNOWN[12:14])
+    apache, bsd = (next(t for k, t in licenses.KNOWN if k == x and len(t) > 500) for x in ("Apache-2.0", "BSD-3-Clause"))
+    rows = [("MIT License\n\nCopyright (c) 2020 Some One\n\n" + texts["MIT"], "MIT", ""), ("ISC License\nCopyright 2021, X Inc.\n" + texts["ISC"], "ISC", ""), (apache, "Apache-2.0", "Apache-2.0"), (bsd.split("\n", 1)[0] + "\n" + bsd.split("\n", 1)[1].replace(" ", "\n"), "BSD-3-Clause", ""), ("text\nCopyright 2020 X. Licensed under the MIT License.\n", None, "MIT")]
+    rows = [(k, *r) for k, r in enumerate(rows)]
+    got = licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.text_license, r.line_licenses) for r in got} == {r[0]: r[2:] for r in rows}
