@@ -247,6 +247,15 @@ def resolve_clients(spark, sf_dir):
     return resolve.resolve_clients(asked, table).select("qid", "client_key")
 
 
+@_query("select cast(o_orderkey as varchar) as qid, o_custkey as client_key from orders", views=False)
+def resolve_every_client(spark, sf_dir):
+    w = facts.works(spark, sf_dir)
+    clients = w.groupBy("client_key").agg(F.min_by("client_name", "pkg").alias("client_name"))
+    table = resolve.signatures(clients, w.select("pkg", F.concat("category", F.lit(" works")).alias("work_name")))
+    asked = w.select(F.col("pkg").cast("string").alias("qid"), F.concat(F.lit("What is the total value of works done for "), "client_name", F.lit("?")).alias("question"))
+    return resolve.resolve_clients(asked, table).select("qid", "client_key")
+
+
 @_query("select cast(c_custkey as varchar) as qid, case when c_custkey % 3 = 0 and c_custkey % 2 = 1 then 'm' else 'r' end as answer, case when c_custkey % 3 = 0 and c_custkey % 2 = 1 then 'model' else 'rules' end as source from customer", views=False)
 def vote_consensus(spark, sf_dir):
     c = facts.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))

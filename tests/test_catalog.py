@@ -32,3 +32,8 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_order_is_resolved(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert catalog.queries()["resolve_every_client"](spark, SF).count() == orders
