@@ -17,6 +17,7 @@ SLICE_BYTES = 8 << 20
 #: A side is broadcast only when its rows were counted and are at most this many (of a few longs each).
 BROADCAST_ROWS = 1_000_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _saved: list[tuple[SparkSession, str]] = []
 
 
@@ -32,12 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
-    Nothing reads the write's shuffles again, but Spark deletes their files only when the driver collects its garbage: it does here.
+    Nothing reads the write's shuffles again, so Spark deletes their files when the write has ended (a setting of this write
+    only), not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _saved.append((spark, path))
     return spark.read.schema(df.schema).parquet(path), path
 
