@@ -77,20 +77,31 @@ class Cache:
         self.make, self.limit, self.young, self.old = make, limit, {}, {}
 
     def get(self, words: list[str]) -> list:
+        """Values of distinct ``words``."""
         young, old = self.young, self.old
-        if missing := [w for w in words if w not in young]:
-            young.update((w, old[w]) for w in missing if w in old)
-            missing = [w for w in missing if w not in young]
+        out = list(map(young.get, words))
+        if missing := [i for i, v in enumerate(out) if v is None]:
+            for i in missing:
+                if (v := old.get(words[i])) is not None:
+                    young[words[i]] = out[i] = v
+            missing = [i for i in missing if out[i] is None]
             for a in range(0, len(missing), 20_000):
-                part = missing[a : a + 20_000]
-                young.update(zip(part, self.make(part), strict=True))
-        out = [young[w] for w in words]
+                part = [words[i] for i in missing[a : a + 20_000]]
+                made = self.make(part)
+                young.update(zip(part, made, strict=True))
+                for i, v in zip(missing[a : a + 20_000], made, strict=True):
+                    out[i] = v
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
 
 
 _END = ".,;:!?"
+#: The end of the Latin letters (without letters that normal forms or lower case take apart, but one).
+_LATIN_END = "\u0250"
+_shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: Byte-level BPE names a byte by the character of its number if that can be seen, the others by 256 and on.
+_BYTE_NAMES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _shown)}
 
 
 _encoders: dict[str, "Encoder"] = {}
@@ -108,8 +119,26 @@ class Encoder:
         own = Tokenizer.from_file(path)
         own.no_truncation()
         own.no_padding()
-        self.kind = kind
-        stems = Cache(lambda ws: [array("I", e.ids).tobytes() for e in own.encode_batch_fast(ws, add_special_tokens=False)])
+        self.kind, model = kind, own.model
+
+        def whole(words: list[str]) -> list[bytes]:
+            """Ids of each word: a run of Latin letters (after a blank, for ``byte``) is one pre-token of either tokenizer, and neither
+            changes it but for the case and the names of bytes, so the library's model takes it at once; the library does all
+            steps for other words."""
+            out: list[bytes] = [b""] * len(words)
+            rest = []
+            for i, w in enumerate(words):
+                letters = w[1:] if kind == "byte" and w[:1] == " " else w
+                if letters.isalpha() and (letters.isascii() or max(letters) < _LATIN_END and "\u0130" not in letters):
+                    plain = w.lower() if kind == "word" else w
+                    out[i] = array("I", [t.id for t in model.tokenize(plain.encode().decode("latin-1").translate(_BYTE_NAMES))]).tobytes()
+                else:
+                    rest.append(i)
+            for i, e in zip(rest, own.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = array("I", e.ids).tobytes()
+            return out
+
+        stems = Cache(whole)
 
         def encode(words: list[str]) -> list[bytes]:
             # both tokenizers cut between a letter and these marks, so a word is encoded once, whatever mark follows it
