@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks: runs of text between block-level tags, each with its path of tags from the root. Blocks under
-elements that never hold an article (menus, forms, scripts, or by class, id or role a sidebar, advert, notice, comment
-section) are dropped. For each path of the rest: characters and punctuation marks for each block, smoothed over
-neighbouring paths in page order, fused as their product; paths above a share of the page's mean hold content. The
-article is what lies in the smallest element that holds these blocks (an article or main element around them, if there is
-one), so headings and short paragraphs of it stay.
+A page is read into blocks: runs of text between block-level tags, each with its path of tags (and first classes) from the root. For
+each path: characters outside links and punctuation marks for each of its blocks. Both ratios are smoothed over neighbouring
+paths in page order and fused as a product, which elements that name themselves something else than an article (menus,
+forms, by class, id or role an advert, a notice, comments) lessen. Paths above a share of the page's mean, weighted by text, are content.
+
+The article is the deepest element that holds most of the content paths' text. Of it stay: the blocks on content paths; those
+between the first and the last of these; the headings before the first; in an article or main element all. Whatever
+names itself something else goes. So the ratios choose the place, and headings, lists and short paragraphs of it stay.
 """
 
 from __future__ import annotations
@@ -26,11 +28,18 @@ RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "object"
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
+HEADINGS, LEAVES = {"h1", "h2", "h3", "h4", "h5", "h6"}, {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td", "dd"}
 #: Elements that hold no article, and words of class, id or role names that say so.
 NOT_ARTICLE = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "head", "fieldset", "dir", "label"}
 WORDS = {"nav", "navbar", "navigation", "menu", "menubar", "sidebar", "side", "aside", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "comment", "comments", "disqus", "reply", "replies", "respond", "discussion", "footer", "foot", "header", "masthead", "breadcrumb", "breadcrumbs", "share", "sharing", "social", "related", "recommended", "subscribe", "subscription", "newsletter", "signup", "login", "search", "searchbox", "form", "widget", "pagination", "pager", "toolbar", "complementary", "contentinfo", "copyright", "disclaimer", "hidden", "skip", "tags", "toc"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations, tags with whole quoted values; a tag whose quote never closes ends at the next ">", one without any at the page's end.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*'|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)",
+    re.S,
+)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。、，؟¿¡]")
 _SPACE = re.compile(r"\s+")
@@ -51,10 +60,10 @@ def _named(attrs: str, body: bool) -> tuple[str, bool]:
     return first, off
 
 
-def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
-    """(elements from the root, path, text, characters of links) of each block in page order, without the dropped ones."""
-    out: list[tuple[tuple[int, ...], str, str, int]] = []
-    stack: list[tuple[str, int, str, bool]] = []  # tag, number, name in the path, dropped
+def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str, str, int, bool]]:
+    """(elements from the root, path, text, characters of links, whether furniture) of each block in page order."""
+    out: list[tuple[tuple[tuple[str, int], ...], str, str, int, bool]] = []
+    stack: list[tuple[str, int, str, bool]] = []  # tag, number, name in the path, furniture
     run: list[str] = []
     links, number, at, place = 0, 0, 0, ((), "", False)
 
@@ -64,7 +73,8 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
             return
         if not run:
             own = [x for x in stack if x[0] in BLOCK]
-            place = (tuple(x[1] for x in own), "/".join(x[2] for x in own), any(x[3] for x in stack))
+            off = any(x[3] for x in stack) or any(x[0] == "header" for x in stack) and own[-1][0] not in HEADINGS
+            place = (tuple(x[:2] for x in own), "/".join(x[2] for x in own), off)
         piece = html.unescape(piece)
         run.append(piece)
         if any(x[0] == "a" for x in stack):
@@ -74,8 +84,8 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
         nonlocal links
         if run:
             whole = _SPACE.sub(" ", "".join(run)).strip()
-            if whole and not place[2]:
-                out.append((place[0], place[1], whole, links))
+            if whole:
+                out.append((place[0], place[1], whole, links, place[2]))
         run.clear()
         links = 0
 
@@ -85,13 +95,13 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
         del stack[upto:]
 
     while m := _TOKEN.search(page, at):
-        if m.start() > at and not (stack and stack[-1][3] and stack[-1][0] in RAW):
+        if m.start() > at:
             text(page[at : m.start()])
         at = m.end()
-        if not m[2]:
+        tag, ends, attrs = (m[2] or m[5] or "").lower(), m[1] or m[4], m[3] or m[6] or ""
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if ends:
             open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if open_at is not None:
                 pop(open_at)
@@ -99,7 +109,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
                 close()
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
+            if not attrs.rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page) if tag in ("script", "style", "textarea", "title") else at
             continue
@@ -122,7 +132,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
             text(" ")
         if tag in VOID:
             continue
-        name, off = _named(m[3], tag in ("body", "html", "article", "main"))
+        name, off = _named(attrs, tag in ("body", "html", "article", "main"))
         inside = any(x[0] in ("article", "main") for x in stack)
         off = off or tag in NOT_ARTICLE or tag == "header" and not inside
         number += 1
@@ -132,10 +142,8 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
     return out
 
 
-def main_text(page: str) -> str:
-    found = blocks(page)
-    if not found:
-        return ""
+def content_paths(found: list, share: float) -> np.ndarray:
+    """Whether the path of each block holds content."""
     order = {p: i for i, p in enumerate(dict.fromkeys(b[1] for b in found))}
     path = np.array([order[b[1]] for b in found])
     n = np.bincount(path).astype(float)
@@ -143,29 +151,47 @@ def main_text(page: str) -> str:
     marks = np.bincount(path, [len(_PUNCT.findall(b[2])) for b in found]) / n
     kernel = np.array([0.15, 1.0, 0.15])
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid") / kernel.sum()
-    fused = smooth(chars) * (1 + smooth(marks)) * np.sqrt(n)
+    named = np.bincount(path, [b[4] for b in found]) / n
+    fused = smooth(chars) * (1 + smooth(marks)) * np.sqrt(n) * (1 - 0.98 * named)
     weight = np.bincount(path, [len(b[2]) for b in found])
-    line = 0.5 * float((fused * weight).sum() / max(1, weight.sum()))
-    chosen = [b for b, p in zip(found, path.tolist(), strict=True) if fused[p] >= line] or found
-    roots = [i for i, b in enumerate(chosen) if re.search(r"(^|/)(article|main)(\.|/|$)", b[1])]
-    if roots:
-        chosen = [chosen[i] for i in roots]
-    common = chosen[0][0]
-    for b in chosen:
-        k = 0
-        while k < min(len(common), len(b[0])) and common[k] == b[0][k]:
-            k += 1
-        common = common[:k]
-    if roots:
-        names = chosen[0][1].split("/")
-        tops = [i for i, x in enumerate(names) if re.match(r"(article|main)(\.|$)", x)]
-        inner = [i for i in tops if i < len(common)]
-        common = common[: inner[-1] + 1] if inner else common
-    elif len(chosen) == 1 or all(b[0] == chosen[0][0] for b in chosen):
-        common = common[:-1] if len(common) > 1 and chosen[0][1].rpartition("/")[2].split(".")[0] in ("p", "h1", "h2", "pre", "blockquote", "li") else common
-    k = len(common)
-    keep = [b for b in found if b[0][:k] == common and (b[3] * 2 <= len(b[2]) or b[1].rpartition("/")[2].split(".")[0] in ("p", "h1", "h2", "h3"))]
-    return "\n".join(b[2] for b in keep)
+    line = share * float((fused * weight).sum() / max(1, weight.sum()))
+    return (fused >= line)[path]
+
+
+def main_text(page: str, share: float = 0.5, most: float = 0.7) -> str:
+    """Text of the article of a page; ``share`` of the mean ratio makes a path content, ``most`` of their text lies in the article."""
+    found = blocks(page)
+    if not found:
+        return ""
+    content = content_paths(found, share)
+    chosen = [i for i in np.flatnonzero(content).tolist() if not found[i][4]]
+    if not chosen:
+        return ""
+    mass: dict[tuple[str, int], int] = {}
+    for i in chosen:
+        for element in found[i][0]:
+            mass[element] = mass.get(element, 0) + len(found[i][2])
+    whole = sum(len(found[i][2]) for i in chosen)
+    holders = [e for e, m in mass.items() if m >= most * whole]
+    root = max(holders, key=lambda e: e[1], default=None)
+    if root and root[0] in LEAVES:  # a single long block: its parent is the place
+        lineage = next(b[0] for b in found if root in b[0])
+        k = lineage.index(root)
+        root = lineage[k - 1] if k else None
+    within = lambda i: root is None or root in found[i][0]
+    chosen = [i for i in chosen if within(i)]
+    first, last = (chosen[0], chosen[-1]) if chosen else (0, -1)
+    lineage = next((b[0][: b[0].index(root) + 1] for b in found if root and root in b[0]), ())
+    article = any(e[0] in ("article", "main") for e in lineage)
+    keep, before = [], True
+    for i, block in enumerate(found):
+        if not within(i) or block[4]:
+            continue
+        before = before and i < first
+        heading = before and block[0] and block[0][-1][0] in HEADINGS
+        if content[i] or article or first <= i <= last or heading:
+            keep.append(block[2])
+    return "\n".join(keep)
 
 
 def extract(pages: DataFrame) -> DataFrame:
