@@ -18,7 +18,8 @@ first common one is followed by that many less one in either set, so a set keeps
 Signatures travel as packed bytes, dealt by hash, with a row of figures for each text; one that only one text has goes no further.
 Copies count as one set. Each set of a signature is compared with the signature's first set. Signatures whose sets are then not yet
 connected stay open: their sets are compared with more firsts in each round, as far as they aren't connected, until all are or
-all pairs have met. So a group of copies is never expanded into its pairs. Before a comparison pairs go whose parities (a bit for
+all pairs have met; from then on two sets meet only where none of the last signatures before is common to both, so not again and
+again. So a group of copies is never expanded into its pairs. Before a comparison pairs go whose parities (a bit for
 each of 256 parts of the domain) differ more than linked sets can. All comparisons are of whole sets.
 """
 
@@ -45,6 +46,8 @@ PARITY = ["p0", "p1", "p2", "p3"]
 PARTITIONS, SPARED, BEYOND = 3, 1, 1.08
 SUBSETS = list(combinations(range(PARTITIONS), PARTITIONS - SPARED))
 DEALS = 3
+#: Signatures before each in a set's order that are compared, so that two sets with many common ones meet at few.
+EARLIER = 16
 #: Bytes of text of a slice; shingles of a row of a set; tasks to which the comparisons with one set are dealt.
 SLICE, CHUNK, SALTS = 4 << 20, 2048, 64
 #: Bytes of a signature within its bucket.
@@ -424,7 +427,9 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     sums = (F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("s2"))
     listed = firm.groupBy("sig").agg(F.min("c").alias("c"), F.count("*").alias("k"), *sums).where("k > 1")
     one = cut(listed.groupBy((F.col("sig") % 2).alias("instance"), "k", "s1", "s2").agg(F.min(F.struct("c", "sig")).alias("first")).select("first.sig"), "lists")
-    members = cut(join_small(firm, one, "sig", "left_semi").select("sig", "doc_id", "n", "least", "left", "of"), "members")
+    # the last signatures before each in the same order: two sets that have one of them in common meet there, or before
+    earlier = F.collect_list("sig").over(instance.orderBy("c", "sig").rowsBetween(-EARLIER, -1)).alias("earlier")
+    members = cut(join_small(firm, one, "sig", "left_semi").select("sig", "doc_id", "n", "least", "left", "of", earlier), "members")
     release(spark, firm_at)
     candidates = cut(members.select("doc_id").distinct(), "candidates")
     sets = cut(_sets(join_small(docs, candidates, "doc_id", "left_semi")), "shingles")
@@ -448,8 +453,9 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
             if here.isEmpty():
                 break
             place = F.row_number().over(Window.partitionBy("sig").orderBy(F.col("of").desc(), "doc_id"))
-            firsts = here.withColumn("place", place).where(F.col("place") <= pivots).select("sig", *renamed("a"))
-        meet = firsts.join(here.select("sig", *renamed("b")), "sig").where(_may_link(differ))
+            firsts = here.withColumn("place", place).where(F.col("place") <= pivots).select("sig", *renamed("a"), F.col("earlier").alias("ea"))
+        meet = firsts.join(here.select("sig", *renamed("b"), F.col("earlier").alias("eb")), "sig").where(_may_link(differ))
+        meet = meet if tried is None else meet.where(~F.arrays_overlap("ea", "eb"))
         pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub")).groupBy("a", "b").agg(F.min("hub").alias("hub"))
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
