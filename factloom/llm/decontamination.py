@@ -274,13 +274,18 @@ def _masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.45, share: float = 0.6, answer_share: float = 0.5, sure: float = 0.8) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.45, share: float = 0.6, answer_share: float = 0.5, sure: float = 0.8, most_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of the best passage, for each pair that passes the checks.
 
     A pair passes if its common subsequence and its weighted coverage reach ``share`` of the item, and the answer's
-    ``answer_share`` or else the item's ``sure``. Null or empty texts and items give no pairs; rows that share a ``doc_id`` count as one.
+    ``answer_share`` or else the item's ``sure``. Null or empty texts and items give no pairs; rows that share a ``doc_id`` count as one; rows
+    without a ``doc_id`` give none (``without_leaks`` judges them, too). The driver and the tasks hold the benchmark's words: its text may have
+    ``most_bytes`` at most, which is checked before it is read.
     """
     docs = id_and_text(docs).where("doc_id is not null")
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"the benchmark's texts have {size} bytes; run it in parts of {most_bytes}")
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = Items([tuple(r) for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"), answer.alias("answer")).distinct().orderBy("item_id", "text").collect()])
     if not items.ids:
@@ -361,6 +366,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item was found."""
-    found = cut(leaks(docs, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return join_small(docs, found, "doc_id", "left_anti")
+    """The rows of ``docs``, all columns, in whose text no benchmark item was found.
+
+    Texts are known by a digest here, so rows without a ``doc_id``, or that share one, are judged by their own text. Null and empty texts stay,
+    equal texts go or stay together; an empty table gives no rows.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    digest = F.xxhash64(text, F.length(text))
+    found = cut(leaks(docs.select(digest.alias("doc_id"), text.alias("text")), benchmark, **options).select("doc_id").distinct(), "leaks")
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest.alias("doc_id"))
+    return join_small(marked, found, "doc_id", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

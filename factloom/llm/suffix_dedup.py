@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_slices, partitions
@@ -227,10 +227,10 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist(), strict=True))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """id and text; ``mark`` tells apart rows that share an id. A null text is the empty text."""
+def _keys() -> tuple[Column, Column]:
+    """_id and _mark; the mark tells apart rows that share an id. A null text is the empty text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_mark", F.xxhash64(text))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_id"), F.xxhash64(text).alias("_mark")
 
 
 def _segment_rows(docs: DataFrame) -> DataFrame:
@@ -347,9 +347,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     A null text is the empty text; texts shorter than 200 bytes lose nothing. Rows that share a ``doc_id``, or have none, are texts of
     their own; a row that repeats another one whole counts as elsewhere. An empty table gives no rows.
     """
-    keyed = _keyed(docs).select("doc_id", "text", "_id", "_mark")
-    # rows that repeat another row in id and text would count once below, so they are told apart
-    keyed = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "_id", "_mark")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *_keys())
     table = repeats(keyed)
 
     def make():
@@ -367,16 +365,18 @@ def dedup(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the repeated bytes taken out of ``text`` and ``n_chars`` (if there) counted anew.
 
-    Bytes of a character that is cut apart go too. Rows of which nothing stays are kept, with the empty text.
+    Bytes of a character that is cut apart go too. Rows of which nothing stays are kept, with the empty text; a null text stays null. Null and
+    repeated ids as in ``dedup``; columns of any name (but dots) come through as they are. An empty table gives no rows.
     """
-    columns = docs.columns
-    keyed = _keyed(docs)
-    table = repeats(keyed)
-    joined = _with_text(keyed, table, "left")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text").select("row", "text", *_keys())
+    table = repeats(rows)
 
     @F.pandas_udf("string")
     def rest(text, spans):
         return text.combine(spans, lambda t, s: t if s is None or t is None else kept(t.encode(), list(s))[0].decode("utf-8", "ignore"))
 
-    out = joined.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest("text", "spans")))
-    return (out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out).select(*columns)
+    joined = _with_text(rows, table, "left")
+    joined = joined.withColumn("left", F.when(F.col("spans").isNull(), F.col("text")).otherwise(rest("text", "spans")))
+    types = {f.name: f.dataType for f in docs.schema}
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast(types.get("n_chars", "long"))}
+    return joined.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

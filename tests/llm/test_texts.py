@@ -243,3 +243,24 @@ def test_license_files(spark):
     rows = [(k, *r) for k, r in enumerate(rows)]
     got = licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()
     assert {r.doc_id: (r.text_license, r.line_licenses) for r in got} == {r[0]: r[2:] for r in rows}
+
+
+def test_clean_keeps_odd_columns(spark):
+    text = "a passage that two texts share, word for word, " * 8
+    rows = [(1, "one " + text, 9, 5, 6, 7, "x"), (None, "two " + text, None, 5, 6, 7, "y"), (2, None, 3, 5, 6, 7, "z"), (2, "", 0, 5, 6, 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans int, _id int, _mark int, row string")
+    got = {r.row + str(r.doc_id) + str(r.text is None): r for r in suffix_dedup.clean(docs).collect()}
+    assert suffix_dedup.clean(docs).columns == docs.columns and len(got) == 4
+    assert all((r.spans, r._id, r._mark) == (5, 6, 7) for r in got.values())
+    assert len(got["x1False"].text) < 10 and got["x1False"].n_chars == len(got["x1False"].text) and got["z2True"].text is None
+
+
+def test_leaks_without_ids_go(spark):
+    item = " ".join(f"question{k} word{k * 7 % 13}" for k in range(20)) + ". The answer is forty two."
+    rows = [(None, "before " + item + " after", "a"), (None, "clean text of no one", "b"), (3, item, "c"), (3, "another clean one", "d"), (4, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontamination.without_leaks(docs, bench, rank=8)
+    assert left.columns == docs.columns and {r.row for r in left.collect()} == {"b", "d", "e"}
+    with pytest.raises(ValueError):
+        decontamination.leaks(docs, bench, most_bytes=10)
