@@ -47,7 +47,7 @@ PARTITIONS, SPARED, BEYOND = 3, 1, 1.08
 SUBSETS = list(combinations(range(PARTITIONS), PARTITIONS - SPARED))
 DEALS = 3
 #: Signatures before each in a set's order that are compared, so that two sets with many common ones meet at few.
-EARLIER = 16
+EARLIER = 8
 #: Bytes of text of a slice; shingles of a row of a set; tasks to which the comparisons with one set are dealt.
 SLICE, CHUNK, SALTS = 4 << 20, 2048, 64
 #: Bytes of a signature within its bucket.
