@@ -6,12 +6,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Rupee units, date patterns, number words.
+# Rupee units, date patterns, number words, short forms of names, states.
 UNITS = {"crore": 10_000_000, "cr": 10_000_000, "lakh": 100_000, "lac": 100_000, "mn": 1_000_000, "million": 1_000_000}
 DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMMM d, yyyy", "MMM d, yyyy"]
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
 
 
+STATE_INITIALS = [(r"\bU\.?\s?P\.?\b", "uttar pradesh"), (r"\bM\.?\s?P\.?\b", "madhya pradesh"), (r"\bW\.?\s?B\.?\b", "west bengal"), (r"\bT\.?\s?N\.?\b", "tamil nadu")]
+SHORT_FORMS = [
+    (r"\bpwd\b", "public works department"),
+    (r"\bphed?g?\b", "public health engineering department"),
+    (r"\bphe\b", "public health engineering department"),
+    (r"\bp\s*w\s*d\b", "public works department"),
+    (r"\bpw\b", "public works department"),
+    (r"\birr\b", "irrigation"),
+    (r"\binfra\b", "infrastructure"),
+    (r"\bcorp\b", "corporation"),
+    (r"\bltd\b", "limited"),
+    (r"\bauth\b", "authority"),
+    (r"\bmuni\b", "municipal"),
+    (r"\but\s+pr\b", "uttar pradesh"),
+    (r"\bmah\b", "maharashtra"),
+    (r"\bneda\b", "national expressway development authority"),
+    (r"\bguj\b", "gujarat"),
+    (r"\braj\b", "rajasthan"),
+    (r"\bjhk?d\b", "jharkhand"),
+]
+STATES = [
+    "uttar pradesh", "madhya pradesh", "west bengal", "tamil nadu", "maharashtra", "gujarat", "rajasthan", "jharkhand", "odisha", "delhi",
+    "andhra pradesh", "assam", "bihar", "chhattisgarh", "goa", "haryana", "himachal pradesh", "karnataka", "kerala", "manipur", "meghalaya",
+    "mizoram", "nagaland", "punjab", "sikkim", "telangana", "tripura", "uttarakhand", "arunachal pradesh", "jammu and kashmir", "ladakh",
+    "puducherry", "chandigarh",
+]
+MONTH = r"[A-Za-z]{3,9}"
+
+
 def group(text: Column, pattern: str, n: int = 1) -> Column:
     """Group of the first match; null, not '', where there is none."""
     return F.nullif(F.trim(F.regexp_extract(text, pattern, n)), F.lit(""))
@@ -70,21 +99,47 @@ def package_of(text: Column) -> Column:
 
 
 def norm_question(text: Column) -> Column:
-    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(text), "&", " and "), r"[^a-z0-9.%]+", " "))
+    """Words of a question or a name: initials of states (capitals only) and short forms written out, lower case, a-z and 0-9."""
+    out = F.regexp_replace(text, "[\u2018\u2019]", "'")
+    for short, full in STATE_INITIALS:
+        out = F.regexp_replace(out, short, f" {full} ")
+    out = F.regexp_replace(F.lower(out), "&", " and ")
+    out = squeeze(F.regexp_replace(out, "[^a-z0-9]+", " "))
+    for short, full in SHORT_FORMS:
+        out = F.regexp_replace(out, short, full)
+    return squeeze(out)
+
+
+def mask_once(text: Column, words: Column) -> Column:
+    """``text`` without the first occurrence of each of ``words`` (of a-z and 0-9)."""
+    return F.aggregate(words, text, lambda acc, w: F.regexp_replace(acc, F.concat(F.lit(r"^(.*?)\b"), w, F.lit(r"\b")), F.lit("$1 ")))
 
 
 def words_to_number(text: Column) -> Column:
-    """Number words up to hundreds; null if any word is unknown."""
+    """Number words up to hundreds; null if any word is unknown, or if "hundred" has no number before it."""
     table = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
     words = F.filter(F.split(F.regexp_replace(F.lower(text), r"[-\s]+", " "), " "), lambda w: ~w.isin("", "and"))
-    value = F.aggregate(words, F.lit(0), lambda acc, w: F.when(w == "hundred", F.greatest(acc, F.lit(1)) * 100).otherwise(acc + F.element_at(table, w)))
+    value = F.aggregate(words, F.lit(0), lambda acc, w: F.when((w == "hundred") & (acc > 0), acc * 100).otherwise(acc + F.element_at(table, w)))
     return F.when(F.size(words) > 0, value)
 
 
+def norm_amount(text: Column) -> Column:
+    """Question text for amounts: lower case, dashes and other marks to blanks, but commas and points of numbers."""
+    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?<=\d)(crores?|cr|lakhs?|lacs?)\b", " $1"), r"[^a-z0-9.,%]+|[.,](?!\d)", " "))
+
+
 def find_amount(text: Column) -> Column:
-    """A threshold in crore or lakh, in digits; crore first."""
-    at = lambda unit, by: group(F.lower(text), rf"(\d[\d,]*(?:\.\d+)?)\s*{unit}").try_cast("decimal(18,4)") * by
-    return F.coalesce(at("(?:crores?|cr)\\b", UNITS["crore"]), at("(?:lakhs?|lacs?)\\b", UNITS["lakh"])).cast("decimal(18,2)")
+    """A threshold in crore or lakh, in digits or number words; crore first; an amount of zero is none."""
+    words = "|".join([*NUMBER_WORDS, "hundred", "and"])
+    text = norm_amount(text)
+
+    def at(unit: str, by: int) -> Column:
+        digits = F.regexp_replace(group(text, rf"(\d[\d,]*(?:\.\d+)?)\s*{unit}\b"), ",", "").try_cast("decimal(18,4)")
+        spelled = words_to_number(group(text, rf"\b((?:(?:{words})\s+)+){unit}\b")).cast("decimal(18,4)")
+        found = F.coalesce(digits, spelled)
+        return F.when(found > 0, found * by)
+
+    return F.coalesce(at("(?:crores?|cr)", UNITS["crore"]), at("(?:lakhs?|lacs?)", UNITS["lakh"])).cast("decimal(18,2)")
 
 
 def years_in(text: Column) -> Column:

@@ -51,6 +51,25 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("s_suppkey").alias("manager_key"), F.col("r_name").alias("business_unit"), F.date_add(F.lit("1996-01-01").cast("date"), F.col("s_suppkey").cast("int")).alias("issued"))
 
 
+FIRST_NAMES = ["Asha", "Bela", "Chitra", "Devika", "Esha", "Farida", "Gauri", "Hema", "Indra", "Jaya", "Kavita", "Lata"]
+
+
+def managers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """manager_key, name, name_key, works, value of each manager; names are made of the key, in letters."""
+    last = F.initcap(F.translate(F.lpad(F.col("s_suppkey").cast("string"), 6, "0"), "0123456789", "abcdefghij"))
+    name = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, FIRST_NAMES)), (F.pmod("s_suppkey", F.lit(12)) + 1).cast("int")), last)
+    sums = works(spark, sf_dir).where("manager_key is not null").groupBy("manager_key").agg(F.count("*").alias("works"), F.sum("value").alias("value"))
+    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("manager_key"), name.alias("name"), F.lower(name).alias("name_key"))
+    return people.join(sums, "manager_key", "left").na.fill({"works": 0})
+
+
+def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """credential_id, credential, manager_key, issued: one of each manager, of three kinds."""
+    kind = F.element_at(F.array(F.lit("PMP"), F.lit("Six Sigma Black Belt"), F.lit("PRINCE2")), (F.pmod("manager_key", F.lit(3)) + 1).cast("int"))
+    number = F.concat(F.lit("CR-"), F.lpad(F.col("manager_key").cast("string"), 7, "0"))
+    return units(spark, sf_dir).select(number.alias("credential_id"), kind.alias("credential"), "manager_key", "issued")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in a full order; losers are the rest."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

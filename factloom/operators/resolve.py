@@ -1,37 +1,110 @@
-"""Entities that questions name: weighted token joins instead of a loop over questions and names."""
+"""Entities that questions name, for a whole table of questions at once.
+
+Free text is scored against the corpus only. A score is a sum over shared words, so candidates come from a join on words, never from all
+pairs: of each name the rarest words whose absence rules the name out are joined (a prefix of its words by rarity), and only
+the candidates that these give are scored on all words. Names that are equal as far as a score goes are joined once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..sources.scratch import cut
+
+# Words that name no one, kinds of credentials.
+STOPWORDS = ["of", "the", "and", "for", "govt", "government", "dept", "department", "a", "in", "our"]
+CREDENTIALS = [
+    ("pmp", r"\bpmp\b|project management professional"),
+    ("six sigma black belt", r"six sigma black|black belt|\b6s\b"),
+    ("six sigma green belt", r"six sigma green|green belt"),
+    ("prince2", r"prince ?2"),
+    ("lean", r"\blean\b"),
+    ("iso lead auditor", r"lead auditor"),
+]
+STATE_WORDS = sorted({w for s in X.STATES for w in s.split()})
+#: Words of the longest name or label that is looked for.
+NAME_WORDS = 6
+
+
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, " "), lambda w: w != "")
+
+
+def asked(questions: DataFrame) -> DataFrame:
+    """``questions`` with ``nq``, the normalised text."""
+    return questions.withColumn("nq", X.norm_question(F.col("question")))
+
+
+def state_of(text: Column) -> Column:
+    """The longest state that a normalised text holds, or null."""
+    padded = F.concat(F.lit(" "), text, F.lit(" "))
+    return F.coalesce(*[F.when(F.contains(padded, F.lit(f" {s} ")), s) for s in sorted(X.STATES, key=lambda s: (-len(s), s))])
+
+
+def _ngrams(words: Column, most: int = NAME_WORDS) -> Column:
+    """(text, first word, length) of every run of at most ``most`` words."""
+    starts = F.transform(words, lambda _, i: i)
+    run = lambda i, n: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("text"), i.alias("at"), n.alias("n"))
+    runs = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i)), lambda n: run(i, n)))
+    return F.flatten(runs)
+
 
-STOPWORDS = ["the", "of", "and", "for", "limited", "works"]
+def _best(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def tokens(df: DataFrame, key: str, text: str) -> DataFrame:
-    words = F.array_distinct(F.filter(F.split(X.norm_question(F.col(text)), " "), lambda w: (w != "") & ~w.isin(*STOPWORDS)))
-    return df.select(key, F.explode(words).alias("token"))
+# --------------------------------------------------------------------------------------------- clients
+def client_signatures(clients: DataFrame, work_names: DataFrame, least: float = 0.15) -> DataFrame:
+    """client_key, sig (word, weight, whether it alone names the client), whole, state, and ``prefix``: the words one of which a
+    question must hold for a share of ``least``.
 
+    A weight is 1 / (clients with the word), 0.35 of that for words of works' names. Words of states don't count.
+    """
+    own = clients.select("client_key", X.norm_question(F.col("client_name")).alias("name")).withColumn("state", state_of(F.col("name")))
+    # every name word counts for the frequency, once a client; stop words and states' words are then left out
+    pairs = own.select("client_key", F.explode(F.array_distinct(words_of(F.col("name")))).alias("token"))
+    df = pairs.groupBy("token").agg(F.count("*").alias("df"))
+    names = work_names.select(F.explode(F.array_distinct(words_of(X.norm_question(F.col("work_name"))))).alias("token")).distinct()
+    vocabulary = names.where("token != 'pkg' and not token rlike '^[0-9]+$'").withColumn("common", F.lit(True))
+    core = pairs.where(~F.col("token").isin(*STOPWORDS, *STATE_WORDS)).join(df, "token").join(vocabulary, "token", "left")
+    weight = 1 / F.col("df") * F.when(F.col("common"), 0.35).otherwise(1.0)
+    unique = (F.col("df") == 1) & F.col("common").isNull()
+    entry = F.struct((-weight).alias("order"), "token", weight.alias("weight"), unique.alias("unique"))
+    sig = core.groupBy("client_key").agg(F.array_sort(F.collect_list(entry)).alias("sig"))
+    sig = sig.withColumn("whole", F.aggregate("sig", F.lit(0.0), lambda acc, x: acc + x["weight"]))
+    before = lambda i: F.aggregate(F.slice(F.col("sig"), 1, i), F.lit(0.0), lambda acc, x: acc + x["weight"])
+    # a word is of the prefix while the words from it on weigh enough, or if it names the client alone
+    kept = F.filter("sig", lambda x, i: x["unique"] | (F.col("whole") - before(i) >= F.lit(least - 1e-9) * F.col("whole")))
+    return sig.withColumn("prefix", F.transform(kept, lambda x: x["token"])).join(own.select("client_key", "state"), "client_key")
 
-def signatures(clients: DataFrame, work_names: DataFrame) -> DataFrame:
-    """client_key, token, weight 1 / df, 0.35 of it if the token occurs in a work's name; unique: df 1 and in no work's name."""
-    own = tokens(clients, "client_key", "client_name")
-    df = own.groupBy("token").agg(F.count_distinct("client_key").alias("df"))
-    common = tokens(work_names, "pkg", "work_name").select("token").distinct().withColumn("common", F.lit(True))
-    out = own.join(df, "token").join(common, "token", "left")
-    return out.select("client_key", "token", (1 / F.col("df") * F.when(F.col("common"), 0.35).otherwise(1.0)).alias("weight"), ((F.col("df") == 1) & F.col("common").isNull()).alias("unique"))
+
+def client_scores(questions: DataFrame, table: DataFrame) -> DataFrame:
+    """qid, client_key, score of every client that shares enough with a question (qid, nq)."""
+    q = questions.select("qid", "nq", F.array_distinct(words_of(F.col("nq"))).alias("words"))
+    found = q.select("qid", F.explode("words").alias("token")).join(table.select("client_key", F.explode("prefix").alias("token")), "token")
+    both = found.select("qid", "client_key").distinct().join(q, "qid").join(table.drop("prefix"), "client_key")
+    hit = F.filter("sig", lambda x: F.array_contains("words", x["token"]))
+    share = F.aggregate(hit, F.lit(0.0), lambda acc, x: acc + x["weight"]) / F.col("whole")
+    alone = F.exists(hit, lambda x: x["unique"])
+    named = F.contains(F.concat(F.lit(" "), "nq", F.lit(" ")), F.concat(F.lit(" "), "state", F.lit(" ")))
+    state = F.when(F.col("state").isNull(), 0.0).when(named, 0.3).otherwise(-0.5)
+    return both.select("qid", "client_key", (F.when(alone, F.greatest(F.lit(1.0), share)).otherwise(share) + state).alias("score"))
 
 
 def resolve_clients(questions: DataFrame, table: DataFrame, least: float = 0.55) -> DataFrame:
-    """qid, client_key, score of the best client with a score of ``least``; ties go to the lowest key."""
-    whole = table.groupBy("client_key").agg(F.sum("weight").alias("whole"))
-    hits = tokens(questions, "qid", "question").join(table, "token").groupBy("qid", "client_key").agg(F.sum("weight").alias("hit"), F.bool_or("unique").alias("unique"))
-    score = F.when(F.col("unique"), F.greatest(F.lit(1.0), F.col("hit") / F.col("whole"))).otherwise(F.col("hit") / F.col("whole"))
-    ranked = hits.join(whole, "client_key").withColumn("score", score)
-    best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "client_key")
-    return ranked.withColumn("_n", F.row_number().over(best)).where((F.col("_n") == 1) & (F.col("score") >= least)).select("qid", "client_key", "score")
+    """qid, client_key, score of the best client with a score of ``least``; ties go to the lowest key. ``questions``: qid and question (or nq)."""
+    questions = questions if "nq" in questions.columns else asked(questions)
+    return _best(client_scores(questions, table).where(F.col("score") >= least), "qid", F.col("score").desc(), "client_key").select("qid", "client_key", "score")
+
+
+def client_by_categories(scores: DataFrame, named: DataFrame, works: DataFrame, least: float = 0.45) -> DataFrame:
+    """qid, client_key where of the near clients exactly one has works in all the categories (qid, categories) that a question names."""
+    have = works.groupBy("client_key").agg(F.collect_set("category").alias("have"))
+    near = scores.where(F.col("score") >= least).join(named.where(F.size("categories") > 0), "qid").join(have, "client_key")
+    fit = near.where(F.size(F.array_except("categories", "have")) == 0)
+    return fit.groupBy("qid").agg(F.count("*").alias("n"), F.min("client_key").alias("client_key")).where("n = 1").select("qid", "client_key")
 
 
 def primary_client(works: DataFrame) -> DataFrame:
@@ -40,5 +113,203 @@ def primary_client(works: DataFrame) -> DataFrame:
     total = works.groupBy("client_key").agg(F.count("*").alias("all"))
     of = Window.partitionBy("manager_key")
     ranked = own.join(total, "client_key").withColumn("most", F.max("n").over(of))
-    order = of.orderBy(F.when(F.col("most") > 1, -F.col("n")).otherwise(F.col("all")), F.when(F.col("most") > 1, -F.col("v")).otherwise(F.lit(0)), "client_key")
-    return ranked.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("manager_key", "client_key")
+    several = F.col("most") > 1
+    return _best(ranked, "manager_key", F.when(several, -F.col("n")).otherwise(F.col("all")), F.when(several, -F.col("v")).otherwise(F.lit(0)), F.col("client_key")).select("manager_key", "client_key")
+
+
+# --------------------------------------------------------------------------------------------- works
+def stated_work(questions: DataFrame, works: DataFrame) -> DataFrame:
+    """qid, pkg of works whose number a question states."""
+    pkg = X.group(F.col("nq"), r"\b(?:pkg|package|pkge)\s*(\d+)\b").try_cast("bigint")
+    return questions.select("qid", pkg.alias("pkg")).join(works.select("pkg").distinct(), "pkg").select("qid", "pkg")
+
+
+def resolve_works(questions: DataFrame, works: DataFrame) -> DataFrame:
+    """qid, pkg, score: the work a question (qid, nq and, if it names one, manager_key) means.
+
+    A stated number decides. Otherwise the share of the name's words that the question holds, plus 0.5 for the question's state in the
+    name or less 0.4 for another, must reach 0.8, or 0.6 among the named manager's works. Ties go to the lowest number.
+    """
+    by_manager = "manager_key" in questions.columns
+    stated = stated_work(questions, works).withColumn("score", F.lit(9.0))
+    name = X.norm_question(F.col("work_name"))
+    head = F.filter(words_of(name), lambda w: ~w.isin(*STOPWORDS, *STATE_WORDS, "pkg") & ~w.rlike("^[0-9]+$"))
+    keys = ["manager_key"] if by_manager else []
+    # equal names have equal scores: one join for all of them
+    same = works.where("work_name is not null").select("pkg", *keys, F.array_sort(head).alias("head"), F.concat(F.lit(" "), name, F.lit(" ")).alias("name"))
+    same = same.withColumn("states", F.concat_ws("|", *[F.when(F.contains("name", F.lit(f" {s} ")), s) for s in X.STATES])).where(F.size("head") > 0)
+    same = cut(same.groupBy(*keys, "head", "states").agg(F.min("pkg").alias("pkg")), "names")
+    tokens = same.select("pkg", F.explode(F.array_distinct("head")).alias("token"))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("pkg").orderBy("df", "token"))
+    words = F.count("*").over(Window.partitionBy("pkg"))
+    # without its state a name needs more of its words: fewer of the rarest rule it out
+    need = 0.2 if by_manager else 0.3
+    prefix = tokens.join(df, "token").withColumn("place", place).withColumn("words", words).where(F.col("place") <= F.col("words") - F.ceil(F.col("words") * need) + 1)
+    q = questions.join(stated.select("qid"), "qid", "left_anti").where("nq != ''")
+    q = q.select("qid", *keys, F.array_distinct(words_of(F.col("nq"))).alias("asked"), state_of(F.col("nq")).alias("state"))
+    if by_manager:
+        q = q.where("manager_key is not null")
+        found = q.select("qid", "manager_key", F.explode("asked").alias("token")).join(prefix.join(same.select("pkg", *keys), "pkg"), ["token", "manager_key"])
+    else:
+        found = q.select("qid", F.explode("asked").alias("token")).join(prefix, "token")
+    both = found.select("qid", "pkg").distinct().join(q.drop(*keys), "qid").join(same.drop(*keys), "pkg")
+    hit = F.size(F.filter("head", lambda w: F.array_contains("asked", w))) / F.size("head")
+    there = F.array_contains(F.split("states", r"\|"), F.col("state"))
+    scored = both.select("qid", "pkg", (hit + F.when(F.col("state").isNull(), 0.0).when(there, 0.5).otherwise(-0.4)).alias("score"))
+    scored = scored.where(F.col("score") >= (0.6 if by_manager else 0.8) - 1e-9)
+    return stated.unionByName(_best(scored, "qid", F.col("score").desc(), "pkg").select("qid", "pkg", "score"))
+
+
+# --------------------------------------------------------------------------------------------- people
+def named_managers(questions: DataFrame, managers: DataFrame) -> DataFrame:
+    """qid, manager_key, name_key, at, n of every whole name in a question, without names inside longer ones."""
+    runs = questions.select("qid", F.explode(_ngrams(words_of(F.col("nq")))).alias("run")).select("qid", "run.*")
+    found = runs.join(managers.select("manager_key", "name_key"), runs.text == F.col("name_key")).select("qid", "manager_key", "name_key", "at", "n")
+    longer = found.select(F.col("qid").alias("q2"), F.col("at").alias("at2"), F.col("n").alias("n2"))
+    inside = (F.col("qid") == F.col("q2")) & (F.col("at2") <= F.col("at")) & (F.col("at2") + F.col("n2") >= F.col("at") + F.col("n")) & (F.col("n2") > F.col("n"))
+    return found.join(longer, inside, "left_anti")
+
+
+def resolve_managers(questions: DataFrame, managers: DataFrame) -> DataFrame:
+    """qid, manager_key: the longest whole name; else, with possessive endings off, again; else the first name.
+
+    ``managers``: manager_key, name_key, works, value. Of several with a first name the hinted one (a column ``hint``), else the one
+    with most works, then value. A question that names no one takes its hint. Remaining ties go to the lowest key.
+    """
+    hint = F.col("hint") if "hint" in questions.columns else F.lit(None).cast("long")
+    q = questions.select("qid", "nq", hint.alias("hint"))
+    bare = q.withColumn("nq", F.regexp_replace("nq", r"\b(\w+?)s\b", "$1"))
+    whole = named_managers(q, managers).withColumn("rank", F.lit(0)).unionByName(named_managers(bare, managers).withColumn("rank", F.lit(1)))
+    whole = _best(whole, "qid", F.col("rank"), -F.length("name_key"), F.col("manager_key")).select("qid", "manager_key")
+    rest = bare.join(whole, "qid", "left_anti").select("qid", "hint", F.explode(F.array_distinct(words_of(F.col("nq")))).alias("first"))
+    ranked = managers.withColumn("first", F.element_at(F.split("name_key", " "), 1))
+    # of a first name only the hinted manager and the one with the largest portfolio can win
+    largest = _best(ranked, "first", F.col("works").desc(), F.col("value").desc(), F.col("manager_key")).select("first", F.col("manager_key").alias("largest"), "works", "value")
+    hinted = ranked.select(F.col("manager_key").alias("hint"), F.col("first").alias("first_of_hint"))
+    called = rest.join(largest, "first").join(hinted, "hint", "left").withColumn("manager_key", F.when(F.col("first") == F.col("first_of_hint"), F.col("hint")).otherwise(F.col("largest")))
+    called = _best(called, "qid", (F.col("first") == F.coalesce("first_of_hint", F.lit(""))).desc(), F.col("works").desc(), F.col("value").desc(), F.col("manager_key"))
+    named = whole.unionByName(called.select("qid", "manager_key"))
+    implied = q.where("hint is not null").join(named, "qid", "left_anti").select("qid", F.col("hint").alias("manager_key"))
+    return named.unionByName(implied.join(managers.select("manager_key"), "manager_key", "left_semi").select("qid", "manager_key"))
+
+
+# --------------------------------------------------------------------------------------------- categories
+def named_categories(questions: DataFrame, labels: DataFrame) -> DataFrame:
+    """qid, categories: the labels that a question names, as written: the longest first where they overlap; "and" between words doesn't count.
+
+    A label's shorter form names a second one: after "roads highways", "maintenance" within 40 characters means "roads maintenance".
+    ``labels``: category, a small table of distinct labels. Words to leave out (a client's name) are masked in ``nq`` beforehand.
+    """
+    key = lambda c: F.array_join(F.filter(words_of(X.norm_question(c)), lambda w: w != "and"), " ")
+    known = labels.where("category != ''").select("category", key(F.col("category")).alias("key"))
+    q = questions.select("qid", F.filter(words_of(F.col("nq")), lambda w: w != "and").alias("words"))
+    runs = q.select("qid", "words", F.explode(_ngrams(F.col("words"))).alias("run")).select("qid", "words", "run.*")
+    found = runs.join(F.broadcast(known) if _small(known) else known, runs.text == F.col("key"))
+    hits = found.groupBy("qid", "words").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("order"), "at", "n", "category", "key"))).alias("hits"))
+    overlaps = lambda acc, h: F.exists(acc, lambda o: (o["at"] < h["at"] + h["n"]) & (o["at"] + o["n"] > h["at"]))
+    none = F.filter("hits", lambda h: F.lit(False))
+    kept = hits.withColumn("hits", F.aggregate("hits", none, lambda acc, h: F.when(overlaps(acc, h), acc).otherwise(F.concat(acc, F.array(h)))))
+    each = kept.select("qid", "words", F.explode("hits").alias("h"), F.transform("hits", lambda h: h["category"]).alias("have"))
+    heads = known.select(F.col("category").alias("other"), F.element_at(F.split("key", " "), 1).alias("head"), F.element_at(F.split("key", " "), -1).alias("tail"))
+    after = F.substring(F.array_join(F.slice("words", F.col("h.at") + F.col("h.n") + 1, 40), " "), 1, 40)
+    short = each.withColumn("head", F.element_at(F.split("h.key", " "), 1)).withColumn("after", after).join(heads, "head").where(~F.array_contains("have", F.col("other")))
+    short = short.where(F.rlike("after", F.concat(F.lit(r"\b"), "tail", F.lit(r"\b")))).select("qid", (F.col("h.at") + F.col("h.n") + F.lit(0.5)).alias("at"), F.col("other").alias("category"))
+    whole = each.select("qid", F.col("h.at").cast("double").alias("at"), F.col("h.category").alias("category"))
+    return whole.unionByName(short).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "category"))), lambda x: x["category"]).alias("categories"))
+
+
+def _small(df: DataFrame, limit: int = 10_000) -> bool:
+    """Whether a table has at most ``limit`` rows; no more are read to find out."""
+    return df.limit(limit + 1).count() <= limit
+
+
+# --------------------------------------------------------------------------------------------- credentials
+def credential_kind(text: Column) -> Column:
+    low = F.lower(X.squeeze(text))
+    return F.coalesce(*[F.when(low.rlike(p), k) for k, p in CREDENTIALS])
+
+
+def modal_dates(credentials: DataFrame) -> DataFrame:
+    """kind, credential_id, issued: the most frequent date of each kind of credential (the earliest of several), and its first credential."""
+    kinds = credentials.select(F.explode(F.array_compact(F.array(*[F.when(F.contains(F.lower("credential"), F.lit(k)), k) for k, _ in CREDENTIALS]))).alias("kind"), "issued", "credential_id")
+    counts = kinds.where("issued is not null").groupBy("kind", "issued").agg(F.count("*").alias("n"), F.min("credential_id").alias("credential_id"))
+    return _best(counts, "kind", F.col("n").desc(), F.col("issued")).select("kind", "credential_id", "issued")
+
+
+def resolve_credentials(questions: DataFrame, credentials: DataFrame) -> DataFrame:
+    """qid, credential_id, issued, how. ``questions``: qid, question, manager_key; ``credentials``: credential_id, credential, manager_key, issued.
+
+    An id that the question quotes (5 characters or more) decides; then the named manager's certificate of the kind, or any of theirs, the earliest
+    of several; then the modal date of the kind.
+    """
+    q = questions.select("qid", F.lower("question").alias("low"), "manager_key", credential_kind(F.col("question")).alias("kind"))
+    quoted = q.select("qid", F.explode(F.array_distinct(F.split("low", r"[^a-z0-9_./-]+|[.](?=\s|$)"))).alias("id"))
+    ids = credentials.where("length(trim(credential_id)) >= 5").select(F.lower(F.trim("credential_id")).alias("id"), "credential_id", "issued")
+    rank = lambda df, n, how: df.select("qid", "credential_id", "issued", F.lit(n).alias("rank"), F.lit(how).alias("how"))
+    by_id = rank(quoted.join(ids, "id"), 0, "credential id")
+    mine = q.where("manager_key is not null").join(credentials, "manager_key")
+    typed = F.contains(F.lower("credential"), F.col("kind"))
+    several = F.count("*").over(Window.partitionBy("qid")) > 1
+    by_manager = mine.select("qid", "credential_id", "issued", F.when(typed, 1).otherwise(2).alias("rank"), F.when(several, "engineer's earliest certificate").otherwise("engineer's certificate").alias("how"))
+    by_kind = rank(q.join(modal_dates(credentials), "kind"), 3, "credential type only")
+    every = by_id.unionByName(by_manager).unionByName(by_kind)
+    return _best(every, "qid", F.col("rank"), F.col("issued").asc_nulls_last(), F.col("credential_id")).select("qid", "credential_id", "issued", "how")
+
+
+# --------------------------------------------------------------------------------------------- all of a question's anchors
+def anchors(questions: DataFrame, works: DataFrame, managers: DataFrame, table: DataFrame, credentials: DataFrame) -> DataFrame:
+    """qid, client_key, client_from, manager_key, pkg, anchor_date, date_from of every question (qid, question).
+
+    Columns ``client_mention``, ``engineer_mention`` and ``work_mention`` are hints where to look first: what they name in the corpus
+    counts, and where they name nothing the whole question does. Each step is a table of keys by question in the shared folder.
+    """
+    q = cut(asked(questions), "questions")
+    table = cut(table, "signatures")
+
+    def first_of(resolve, column: str, key: str) -> DataFrame:
+        whole = resolve(q)
+        if column not in questions.columns:
+            return cut(whole.select("qid", key), key)
+        hinted = cut(resolve(q.where(F.col(column).isNotNull()).withColumn("nq", X.norm_question(F.col(column)))).select("qid", key), key)
+        return cut(hinted.unionByName(whole.select("qid", key).join(hinted, "qid", "left_anti")), key)
+
+    explicit = F.coalesce(F.rlike("nq", F.lit(r"\b(?:pkg|package)\s*\d+")), F.lit(False))
+    names = works.select("pkg", F.col("manager_key").alias("hint"), F.col("client_key").alias("of_work"), "work_name")
+    work = first_of(lambda d: resolve_works(d, works), "work_mention", "pkg")
+    hinted = cut(q.join(work.join(names, "pkg"), "qid", "left").withColumn("explicit", explicit), "hints")
+    manager = first_of(lambda d: resolve_managers(d.join(hinted.select("qid", "hint"), "qid", "left"), managers), "engineer_mention", "manager_key")
+    # an oblique work is one that the named manager led, if there is one
+    led = hinted.join(manager, "qid").where("pkg is null or (manager_key != hint and not explicit)").select("qid", "nq", "manager_key")
+    led = cut(resolve_works(led, works.where("manager_key is not null")).select("qid", F.col("pkg").alias("led")), "led")
+    found = q.select("qid", "question", "nq").join(work, "qid", "left").join(manager, "qid", "left").join(led, "qid", "left")
+    found = cut(found.withColumn("pkg", F.coalesce("led", "pkg")).drop("led").join(names.drop("hint"), "pkg", "left").withColumn("explicit", explicit), "found")
+    # with a stated number the words of the work's name describe the work, not the client
+    head = F.filter(words_of(X.norm_question(F.col("work_name"))), lambda w: ~w.isin(*STOPWORDS, "pkg") & ~w.rlike("^[0-9]+$"))
+    masked = found.withColumn("nq", F.when(F.col("explicit") & F.col("work_name").isNotNull(), X.mask_once(F.col("nq"), head)).otherwise(F.col("nq")))
+    if "client_mention" in questions.columns:
+        masked = masked.join(questions.select("qid", "client_mention"), "qid", "left")
+        mention = resolve_clients(masked.where("client_mention is not null").withColumn("nq", X.norm_question(F.col("client_mention"))), table).select("qid", F.col("client_key").alias("mentioned"))
+    else:
+        mention = masked.select("qid", F.lit(None).cast("long").alias("mentioned")).where("false")
+    direct = cut(resolve_clients(masked, table).select("qid", F.col("client_key").alias("direct")), "clients")
+    labels = works.where("category is not null").select("category").distinct()
+    categories = named_categories(q, labels)
+    unnamed = client_scores(q.join(direct, "qid", "left_anti"), table)
+    fitting = cut(client_by_categories(unnamed, categories, works).select("qid", F.col("client_key").alias("fitting")), "fitting")
+    main = primary_client(works).select("manager_key", F.col("client_key").alias("main"))
+    out = found.join(cut(mention, "mentions"), "qid", "left").join(direct, "qid", "left").join(fitting, "qid", "left").join(main, "manager_key", "left")
+    cred = cut(resolve_credentials(found.select("qid", "question", "manager_key"), credentials).select("qid", "issued", "how"), "credentials")
+    stated = X.group(F.col("question"), r"\b(20\d\d-\d\d-\d\d)\b").try_cast("date")
+    source = F.when(F.col("mentioned").isNotNull(), "mention").when(F.col("direct").isNotNull(), "question").when(F.col("fitting").isNotNull(), "the categories named")
+    source = source.when(F.col("of_work").isNotNull(), "the named work").when(F.col("main").isNotNull(), "the engineer's principal account")
+    out = out.join(cred, "qid", "left").withColumn("stated", stated)
+    return out.select(
+        "qid",
+        F.coalesce("mentioned", "direct", "fitting", "of_work", "main").alias("client_key"),
+        source.alias("client_from"),
+        "manager_key",
+        "pkg",
+        F.coalesce("stated", "issued").alias("anchor_date"),
+        F.when(F.col("stated").isNotNull(), "stated in the question").otherwise(F.col("how")).alias("date_from"),
+    )
