@@ -338,7 +338,14 @@ QUESTIONS = [
 
 def _shapes() -> None:
     same = {"largest_client_share": "largest_client_share", "collection_pct": "collection_pct", "referenced_share": "referenced_share", "absence": "absence_of_reference", "business_units": "distinct_business_units_by_client", "distinct_clients": "distinct_clients_by_engineer", "work_count": "count_by_client", "category_pair_diff": "category_pair_gap", "gap_to_threshold": "gap_to_threshold", "receivables_balance": "receivables_balance", "year_delta": "year_gap", "awarded_vs_invoiced": "award_vs_invoiced", "top_n_clients": "top_n_sum_by_client", "rank_value": "rank_gap", "exclusion_aggregate": "works_excluding_category", "threshold_aggregate": "threshold_aggregate", "role_split": "works_by_role", "temporal_chain": "completed_after_anchor", "hop_aggregate": "sum_value_by_client", "date_span": "days_since_anchor"}
-    own = {"grading_filter": _BY.format("sum(value)", "work", "grading = 'excellent'"), "distinct_category": "select manager_key, cast(count(distinct category) as double) as value from work where manager_key is not null group by 1"}
+    gap = (
+        "with ranked as (select client_key, value, row_number() over (partition by client_key order by value desc, pkg) n, count(*) over (partition by client_key) c from work), "
+        "s as (select client_key, count(*) n, cast(sum(value) * 100 as bigint) s from work group by 1), "
+        "m as (select client_key, count(*) k, cast(sum(value) * 100 as bigint) m from ranked where n in ((c + 1) // 2, (c + 2) // 2) group by 1), "
+        "d as (select client_key, s * k - m * n num, n * k den from s join m using (client_key)) "
+        "select client_key, cast(sign(num) * ((2 * abs(num) + den) // (2 * den)) as double) / 100 as value from d"
+    )
+    own = {"mean_minus_median": ", " + gap[5:], "grading_filter": _BY.format("sum(value)", "work", "grading = 'excellent'"), "distinct_category": "select manager_key, cast(count(distinct category) as double) as value from work where manager_key is not null group by 1"}
     for shape, kind, question in QUESTIONS:
 
         def query(spark, sf_dir, shape=shape, kind=kind, question=question):
@@ -350,7 +357,7 @@ def _shapes() -> None:
 
         _queries[f"shape_{shape}"] = query
         if shape in own:
-            _sql[f"shape_{shape}"] = facts.VIEWS + own[shape]
+            _sql[f"shape_{shape}"] = facts.VIEWS + own[shape]  # whole numbers of cents where the value is rounded
         elif shape in same:
             _sql[f"shape_{shape}"] = _sql[same[shape]]
         elif shape == "avg_work_size":

@@ -32,10 +32,17 @@ def _sheets(content: bytes) -> list[dict]:
         strings = []
         if "xl/sharedStrings.xml" in z.namelist():
             strings = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"]
-        names = [s.get("name") for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if local(s) == "sheet"]
-        paths = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+        listed = [s for s in ET.fromstring(z.read("xl/workbook.xml")).iter() if local(s) == "sheet"]
+        links = {}
+        if "xl/_rels/workbook.xml.rels" in z.namelist():
+            links = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        numbered = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
         out = []
-        for name, path in zip(names, paths, strict=False):
+        for place, s in enumerate(listed):
+            # a sheet's file is the one that its relation names; a book without relations numbers its files in order
+            target = links.get(next((v for k, v in s.attrib.items() if k.rpartition("}")[2] == "id" and k != "id"), None))
+            path = (target[1:] if target.startswith("/") else f"xl/{target}") if target else numbered[place]
+            name = s.get("name")
             rows, formulas = [], {}
             for row in (e for e in ET.fromstring(z.read(path)).iter() if local(e) == "row"):
                 cells: list[str | None] = []

@@ -8,5 +8,10 @@ from ..operators import documents
 
 
 def parsed_stream(texts: DataFrame) -> DataFrame:
-    """Typed records of a stream of (pkg, text, seen); the first record of a work in a day wins, later copies are dropped."""
-    return documents.parse_certificates(texts.select("text", "seen")).where("pkg is not null") if "seen" not in texts.columns else texts.withWatermark("seen", "1 day").dropDuplicatesWithinWatermark(["pkg"]).transform(documents.parse_certificates)
+    """Typed records of a stream of (pkg, text) with a time ``seen``: the first record of a work in a day wins, later copies are dropped.
+
+    Without ``seen`` there is no bound for what would have to be remembered, so every text gives its record.
+    """
+    if "seen" in texts.columns:
+        texts = texts.withWatermark("seen", "1 day").dropDuplicatesWithinWatermark(["pkg"])
+    return documents.parse_certificates(texts).where("pkg is not null")

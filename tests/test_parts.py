@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalars as X
 from factloom.operators import documents, reconcile
+from factloom import streaming
+from factloom.plans import answers
 from factloom.plans.algebra import Measure, Plan, PlanError, analyze, describe, run
 from factloom.plans.rules import classify
 from factloom.sources import estate
@@ -93,3 +95,60 @@ def test_sources(spark, tmp_path):
     got = {r.doc_id: r for r in estate.read_workbooks(estate.find_documents(spark, str(tmp_path / "docs"))).collect()}
     assert set(got) == {"a_b_x.XLSX", "bad.xlsx"} and got["bad.xlsx"].error
     assert got["a_b_x.XLSX"].sheets[0].rows == [["Client", None, "2"]] and got["a_b_x.XLSX"].sheets[0].formulas == {"C1": "=1+1"}
+
+
+def test_sheets_follow_their_relations(spark, tmp_path):
+    book = io.BytesIO()
+    row = '<worksheet><sheetData><row><c r="A1" t="inlineStr"><is><t>{}</t></is></c></row></sheetData></worksheet>'
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/workbook.xml", '<workbook xmlns:r="rel"><sheets><sheet name="First" r:id="b"/><sheet name="Second" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", row.format("of the second"))
+        z.writestr("xl/worksheets/sheet2.xml", row.format("of the first"))
+    (tmp_path / "x.xlsx").write_bytes(book.getvalue())
+    got = estate.read_workbooks(estate.find_documents(spark, str(tmp_path))).first()
+    assert [(s.sheet, s.rows) for s in got.sheets] == [("First", [["of the first"]]), ("Second", [["of the second"]])]
+
+
+@pytest.mark.parametrize("timed", [True, False])
+def test_stream(spark, tmp_path, timed):
+    row = (12, "COMPLETION CERTIFICATE\nReference: CERT/7/Pkg-12\nName of Work: low works Pkg-12\nGrading: good", datetime.datetime(2024, 1, 1, 10))
+    rows = spark.createDataFrame([row] * 3, "pkg long, text string, seen timestamp")
+    (rows if timed else rows.drop("seen")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    texts = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    name = f"parsed_{timed}".lower()
+    query = streaming.parsed_stream(texts).writeStream.format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert [(r.pkg, r.grading) for r in spark.table(name).collect()] == [(12, "good")] * (1 if timed else 3)
+
+
+def test_answers_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "2", 1), ("a", "1.50", 0)], "qid string, answer string, place int")
+    estate.write_answers(rows, str(tmp_path / "out"))
+    assert [tuple(r) for r in spark.read.option("header", "true").csv(str(tmp_path / "out")).collect()] == [("a", "1.50"), ("b", "2")]
+
+
+def test_model_plans_and_fallbacks(spark):
+    works = spark.createDataFrame([(1, 1, "c one", "low works", "low", Decimal(5), 7, "good", True, "unit"), (2, 1, "c one", "high works", "high", Decimal(9), 7, "good", False, "unit")], "pkg long, client_key long, client_name string, work_name string, category string, value decimal(18,2), manager_key long, grading string, has_ref boolean, business_unit string")
+    works = works.withColumn("completed", F.lit("2020-01-05").cast("date")).withColumn("state", F.lit(None).cast("string")).withColumn("role", F.lit("Prime"))
+    invoices = spark.createDataFrame([(1, datetime.date(2020, 1, 1), Decimal(4), Decimal(1), Decimal(3), "o")], "client_key long, date date, invoiced decimal(18,2), received decimal(18,2), outstanding decimal(18,2), status string")
+    anchors = spark.createDataFrame([("q", 1, 7, 2, None), ("x", None, None, None, None)], "qid string, client_key long, manager_key long, pkg long, anchor_date date")
+    measure = lambda **k: {"left": {"source": "works", **k}}
+    plans = {
+        "count": measure(agg="count", filters={"categories_in": ["Low"]}),
+        "none": measure(agg="count", filters={"categories_in": ["no"]}),
+        "median": measure(agg="median_value"),
+        "nth": measure(agg="nth_largest_value", n=2),
+        "top": measure(agg="top_n_sum_by_client", scope="engineer"),
+        "corpus": measure(agg="max_value", scope="corpus"),
+        "percent": {"left": {"source": "invoices", "agg": "sum_received"}, "right": {"source": "invoices", "agg": "sum_invoiced"}, "combine": "percent"},
+        "gap": {"left": {"source": "constant", "value": "20"}, "right": {"source": "works"}, "combine": "difference"},
+        "days": measure(agg="days_since_anchor_date", scope="work"),
+        "bad": measure(agg="mode"),
+    }
+    rows = [(k, "q", "model", 0, json.dumps(p)) for k, p in plans.items()] + [("text", "q", "model", 0, "no JSON"), ("lost", "x", "model", 0, json.dumps(measure(agg="sum_value")))]
+    candidates = spark.createDataFrame(rows, "cid string, qid string, source string, place int, plan string")
+    got = {r.cid: (None if r.value is None else float(r.value), r.error) for r in answers.executed(candidates, anchors, works, invoices).collect()}
+    assert {k: v[0] for k, v in got.items() if v[1] is None} == {"count": 1, "none": 0, "median": 7, "nth": 5, "top": 14, "corpus": 9, "percent": 25, "gap": 6}
+    assert got["days"][1] == "no date to compare with" and got["lost"][1] == "the question names no such entity" and got["bad"][1].startswith("invalid plan") and got["text"][1] == "invalid plan: not JSON"
+    assert {r.answer_type: r.value for r in answers.fallbacks(works, invoices).collect()} == {"money": 14, "count": 2, "percent": 25, "days": 365}
