@@ -18,9 +18,9 @@ first common one is followed by that many less one in either set, so a set keeps
 Signatures travel as packed bytes, dealt by hash, with a row of figures for each text; one that only one text has goes no further.
 Copies count as one set. Each set of a signature is compared with the signature's first set. Signatures whose sets are then not yet
 connected stay open: their sets are compared with more firsts in each round, as far as they aren't connected, until all are or
-all pairs have met; from then on two sets meet only where none of the last signatures before is common to both, so not again and
-again. So a group of copies is never expanded into its pairs. Before a comparison pairs go whose parities (a bit for
-each of 256 parts of the domain) differ more than linked sets can. All comparisons are of whole sets.
+all pairs have met. So a group of copies is never expanded into its pairs. Two sets of one band don't meet in the instance of the next, where
+they would only meet again, and pairs go whose parities (a bit for each of 1,024 parts of the domain) differ more than linked
+sets can. All comparisons are of whole sets.
 """
 
 from __future__ import annotations
@@ -41,13 +41,11 @@ from .components import components
 WORDS = 5
 #: First sets of an open signature that a round compares: as many times those of the round before.
 MORE = 16
-PARITY = ["p0", "p1", "p2", "p3"]
+PARITY = [f"p{k}" for k in range(16)]
 #: Partitions of a group, and those that a subset leaves out; groups beyond the fewest possible, as some partitions are empty.
 PARTITIONS, SPARED, BEYOND = 3, 1, 1.08
 SUBSETS = list(combinations(range(PARTITIONS), PARTITIONS - SPARED))
 DEALS = 3
-#: Signatures before each in a set's order that are compared, so that two sets with many common ones meet at few.
-EARLIER = 8
 #: Bytes of text of a slice; shingles of a row of a set; tasks to which the comparisons with one set are dealt.
 SLICE, CHUNK, SALTS = 4 << 20, 2048, 64
 #: Bytes of a signature within its bucket.
@@ -55,7 +53,7 @@ KEY = 4
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 #: A-Z to a-z, and the white space of words to blanks.
 _FOLD = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-_INFO = np.dtype([("doc", "<i8"), ("known", "?"), ("n", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("even", "<i4"), ("odd", "<i4")])
+_INFO = np.dtype([("doc", "<i8"), ("known", "?"), ("n", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("even", "<i4"), ("odd", "<i4"), ("band", "<i4")])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -233,6 +231,7 @@ def packed_signatures(docs: DataFrame, bits: int) -> DataFrame:
             info = np.zeros(len(size), _INFO)
             info["doc"], info["known"], info["n"], info["d1"], info["d2"] = ids, known, size, d1, d2
             info["even"], info["odd"] = 1, 1
+            info["band"] = np.searchsorted(bands(int(size.max(initial=1))), size) & 1
             at = np.zeros(len(size), np.int64)
             at[kept] = np.arange(len(kept))
             info["even"][order], info["odd"][order] = slack[at[order[new]]][np.cumsum(new) - 1].T if len(order) else (1, 1)
@@ -262,12 +261,12 @@ def packed_signatures(docs: DataFrame, bits: int) -> DataFrame:
 
 
 def shared(packed: DataFrame, parts: int, held_most: int = 2_000_000) -> DataFrame:
-    """sig, doc_id of every signature that several texts have; without sig, doc_id, n, d1, d2, even, odd of each text.
+    """sig, doc_id of every signature that several texts have; without sig, doc_id, n, d1, d2, even, odd, band (whether its number is odd) of each text.
 
     A task reads bucket after bucket. What it holds of a bucket is compacted whenever it passes ``held_most`` entries: repeated
     signatures are passed on and leave one entry behind, however many sets have them.
     """
-    figures = ["n", "d1", "d2", "even", "odd"]
+    figures = ["n", "d1", "d2", "even", "odd", "band"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, count = None, [], 0
@@ -306,21 +305,21 @@ def shared(packed: DataFrame, parts: int, held_most: int = 2_000_000) -> DataFra
         if held:
             yield compact()
 
-    schema = "sig long, doc_id long, n long, d1 long, d2 long, even long, odd long"
+    schema = "sig long, doc_id long, n long, d1 long, d2 long, even long, odd long, band long"
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, which (digest of the set), n, k, shingles: a set in rows of ``CHUNK`` shingles; p0 .. p3 (in the first row): of each
-    of 256 parts of the domain, whether the set has an odd number of its shingles."""
+    """doc_id, which (digest of the set), n, k, shingles: a set in rows of ``CHUNK`` shingles; p0 .. p15 (in the first row): of each
+    of 1,024 parts of the domain, whether the set has an odd number of its shingles."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             value, offsets = shingles(batch.column("text"))
             n, size = len(offsets) - 1, np.diff(offsets)
             which, data = digests(value, offsets)[0], value.astype("<u8").tobytes()
-            cell = 256 * np.repeat(np.arange(n), size) + (value >> np.uint64(56)).astype(np.int64)
-            odd = np.packbits(np.bincount(cell, minlength=256 * n).astype(np.uint8) & 1).view("<i8").reshape(n, 4)
+            cell = 1024 * np.repeat(np.arange(n), size) + (value >> np.uint64(54)).astype(np.int64)
+            odd = np.packbits(np.bincount(cell, minlength=1024 * n).astype(np.uint8) & 1).view("<i8").reshape(n, 16)
             rows = -(-size // CHUNK)
             doc = np.repeat(np.arange(n), rows)
             k = np.arange(len(doc)) - np.repeat(np.cumsum(rows) - rows, rows)
@@ -332,7 +331,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_slices(docs, make, "doc_id long, which long, n long, k long, shingles binary, p0 long, p1 long, p2 long, p3 long", limit=SLICE)
+    return map_slices(docs, make, "doc_id long, which long, n long, k long, shingles binary, " + ", ".join(f"{p} long" for p in PARITY), limit=SLICE)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -384,7 +383,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int, parts: int) -> Data
 def _may_link(differ: str) -> str:
     """What linked sets a and b meet; a set of 0 shingles is a node of several texts, for which sizes say nothing."""
     sizes = f"na = 0 or nb = 0 or (4 * least(na, nb) >= 3 * greatest(na, nb) and 7 * ({differ}) <= na + nb)"
-    return f"a != b and ca != cb and least(la, lb) >= greatest(ta, tb) and ({sizes})"
+    return f"a != b and ca != cb and not (ua and ub) and least(la, lb) >= greatest(ta, tb) and ({sizes})"
 
 
 def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -406,17 +405,18 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     able = info.where("n > 0 and doc_id is not null")
     copies = cut(able.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copies")
     rep = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")
-    known = cut(join_small(info, copies, ["n", "d1", "d2"], "left").select("doc_id", "n", "d1", "d2", "even", "odd", rep), "classes")
+    known = cut(join_small(info, copies, ["n", "d1", "d2"], "left").select("doc_id", "n", "d1", "d2", "even", "odd", "band", rep), "classes")
     several = F.expr("min(d1) != max(d1) or min(d2) != max(d2) or min(n) != max(n)")
     one_of = lambda c, other: F.when(several, other).otherwise(F.min(c)).cast("int").alias(c)
-    own = cut(known.where("doc_id = rep and n > 0").groupBy("doc_id").agg(one_of("n", 0), one_of("even", 1), one_of("odd", 1)), "representatives")
+    own = cut(known.where("doc_id = rep and n > 0").groupBy("doc_id").agg(one_of("n", 0), one_of("even", 1), one_of("odd", 1), one_of("band", -1)), "representatives")
     # rows of one id with several sets tie their sets together
     tied = known.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
     links = cut(tied.select("a", F.explode("reps").alias("b")).where("a != b"), "ties")
-    members = join_small(found.where("sig is not null").select("sig", "doc_id"), own, "doc_id").select("sig", "doc_id", "n", F.when(F.col("sig") % 2 == 0, F.col("even")).otherwise(F.col("odd")).alias("least"))
+    members = join_small(found.where("sig is not null").select("sig", "doc_id"), own, "doc_id").select("sig", "doc_id", "n", F.when(F.col("sig") % 2 == 0, F.col("even")).otherwise(F.col("odd")).alias("least"), ((F.col("band") >= 0) & (F.col("band") != F.col("sig") % 2)).alias("up"))
     members, members_at = saved(members, "members")
     release(spark, found_at)
-    counts = members.groupBy("sig").agg(F.count("*").cast("int").alias("c")).where("c > 1")
+    # up: the instance is that of the next band; sets that are all up met in their own
+    counts = members.groupBy("sig").agg(F.count("*").cast("int").alias("c"), F.bool_and("up").alias("all_up")).where("c > 1 and not all_up").drop("all_up")
     # left: its signatures in the instance from this one on; the rarest come first
     instance = Window.partitionBy("doc_id", F.col("sig") % 2)
     ranked = members.join(counts, "sig").withColumn("of", F.count("*").over(instance).cast("int"))
@@ -425,11 +425,9 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     release(spark, members_at)
     # of the signatures of an instance that the same sets keep, the first stays
     sums = (F.bit_xor(F.xxhash64("doc_id")).alias("s1"), F.bit_xor(F.xxhash64("doc_id", F.lit(7))).alias("s2"))
-    listed = firm.groupBy("sig").agg(F.min("c").alias("c"), F.count("*").alias("k"), *sums).where("k > 1")
+    listed = firm.groupBy("sig").agg(F.min("c").alias("c"), F.count("*").alias("k"), F.bool_and("up").alias("all_up"), *sums).where("k > 1 and not all_up")
     one = cut(listed.groupBy((F.col("sig") % 2).alias("instance"), "k", "s1", "s2").agg(F.min(F.struct("c", "sig")).alias("first")).select("first.sig"), "lists")
-    # the last signatures before each in the same order: two sets that have one of them in common meet there, or before
-    earlier = F.collect_list("sig").over(instance.orderBy("c", "sig").rowsBetween(-EARLIER, -1)).alias("earlier")
-    members = cut(join_small(firm, one, "sig", "left_semi").select("sig", "doc_id", "n", "least", "left", "of", earlier), "members")
+    members = cut(join_small(firm, one, "sig", "left_semi").select("sig", "doc_id", "n", "least", "left", "of", "up"), "members")
     release(spark, firm_at)
     candidates = cut(members.select("doc_id").distinct(), "candidates")
     sets = cut(_sets(join_small(docs, candidates, "doc_id", "left_semi")), "shingles")
@@ -438,7 +436,7 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = cut(join_small(members, parities, "doc_id"), "members")
     differ = " + ".join(f"bit_count(a{p} ^ b{p})" for p in PARITY)
     # a signature's first set is the one with most signatures, so that sets meet the same firsts again and again
-    figures = {"doc_id": "", "n": "n", "least": "t", "left": "l", "comp": "c", **{p: p for p in PARITY}}
+    figures = {"doc_id": "", "n": "n", "least": "t", "left": "l", "up": "u", "comp": "c", **{p: p for p in PARITY}}
     renamed = lambda x: [F.col(c).alias((x if c == "doc_id" else f"{short}{x}") if c not in PARITY else x + c) for c, short in figures.items()]
     least, tried, pivots = (None if links.isEmpty() else components(links)), None, 1
     while True:
@@ -453,9 +451,8 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
             if here.isEmpty():
                 break
             place = F.row_number().over(Window.partitionBy("sig").orderBy(F.col("of").desc(), "doc_id"))
-            firsts = here.withColumn("place", place).where(F.col("place") <= pivots).select("sig", *renamed("a"), F.col("earlier").alias("ea"))
-        meet = firsts.join(here.select("sig", *renamed("b"), F.col("earlier").alias("eb")), "sig").where(_may_link(differ))
-        meet = meet if tried is None else meet.where(~F.arrays_overlap("ea", "eb"))
+            firsts = here.withColumn("place", place).where(F.col("place") <= pivots).select("sig", *renamed("a"))
+        meet = firsts.join(here.select("sig", *renamed("b")), "sig").where(_may_link(differ))
         pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("hub")).groupBy("a", "b").agg(F.min("hub").alias("hub"))
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))

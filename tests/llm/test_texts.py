@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import components, decontamination, html_text, jaccard_join, licenses, suffix_dedup, syncmers, toxicity
 
@@ -264,3 +266,49 @@ def test_leaks_without_ids_go(spark):
     assert left.columns == docs.columns and {r.row for r in left.collect()} == {"b", "d", "e"}
     with pytest.raises(ValueError):
         decontamination.leaks(docs, bench, most_bytes=10)
+
+
+def test_scores_by_hand(spark, docs):
+    """Scores of whole texts from the machine's weights, term by term and pair by pair."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    machine = toxicity.learn(docs, labels)
+    number = {int(b): i for i, b in enumerate(machine.buckets)}
+    known = docs.select("doc_id", "text").collect()
+    got = sorted((str(r.doc_id), round(r.score, 9), r.predicted) for r in toxicity.score(docs, machine).collect())
+    want = []
+    for d, text in known:
+        found = set()
+        for w in re.findall(r"\w+", (text or "").lower()):
+            found.add(zlib.crc32(w.encode()) % toxicity.BUCKETS)
+            found |= {zlib.crc32(b"^" + w[:k].encode()) % toxicity.BUCKETS for k in (4, 5, 6) if len(w) >= k}
+        t = sorted(number[f] for f in found if f in number)
+        raw = machine.w0 + sum(machine.w[t]) + sum(machine.v[a] @ machine.v[b] for i, a in enumerate(t) for b in t[i + 1 :])
+        score = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        want.append((str(d), score))
+    assert len(got) == len(want) and all(g[0] == w[0] and abs(g[1] - w[1]) < 1e-6 and g[2] == int(w[1] >= 0.5) for g, w in zip(got, sorted((d, round(x, 9)) for d, x in want), strict=True))
+    kept = toxicity.reject(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(x < 0.5 for _, x in want)
+
+
+def test_long_texts(spark):
+    """Texts beyond the slices' and pieces' size: 5 MB with a repeated passage on the border of pieces."""
+    rng = random.Random(7)
+    word = lambda n: " ".join("%x" % rng.getrandbits(24) for _ in range(n))
+    passage = word(60)
+    text = word(300_000)
+    text = text[: suffix_dedup.PIECE - 100] + passage + text[suffix_dedup.PIECE - 100 :] + " " + word(400_000)
+    docs = spark.createDataFrame([(1, text), (2, "other " + passage + " end"), (3, text[:-3] + "xyz")], "doc_id long, text string")
+    got = {r.doc_id: r for r in suffix_dedup.dedup(docs.where("doc_id < 3")).collect()}
+    assert got[1].n_removed == got[2].n_removed >= len(passage) and got[1].n_spans == got[2].n_spans == 1 and got[1].n_bytes == len(text)
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.groups(docs).collect()}
+    words = text.split()
+    assert groups[1] == (len({tuple(words[k : k + 5]) for k in range(len(words) - 4)}), 1) and groups[3][1] == 1 and groups[2][1] == 2
+
+
+def test_groups_of_ids_that_repeat(spark):
+    """Rows of one id are one node, with the links of each of its texts."""
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(5, word(1)), (5, word(2)), (6, word(1) + " more"), (7, word(2) + " more"), (8, word(3)), (8, word(3)), (None, word(1)), (9, ""), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sig", F.lit(1)).withColumn("component_id", F.lit("x"))
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.groups(docs).collect())
+    assert got == [(0, 0), (5, 5), (5, 5), (6, 5), (7, 5), (8, 8), (8, 8), (9, 9), (9, 9)]
