@@ -48,6 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the packed documents. Rows without an id or a text go through all stages (an empty text is its end token alone), rows
+    that repeat count as copies where they have ids, columns of any name come through up to the last stage; an empty table gives no rows.
+    """
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         rows = cut(stage(spark, rows, sf_dir), f"stage-{name}")
