@@ -18,16 +18,16 @@ SLICE_BYTES = 8 << 20
 BROADCAST_ROWS = 1_000_000
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_own: list[str] = []
 _saved: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="factloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if not found and not _own:
+        _own.append(tempfile.mkdtemp(prefix="factloom-"))
+    return (found or _own[0]).rstrip("/")
 
 
 def saved(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
