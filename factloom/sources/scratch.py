@@ -13,7 +13,9 @@ _own: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, as in tests on one machine, a folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or _own.setdefault("dir", tempfile.mkdtemp(prefix="factloom-"))).rstrip("/")
+    if not found and "dir" not in _own:
+        _own["dir"] = tempfile.mkdtemp(prefix="factloom-")
+    return (found or _own["dir"]).rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
