@@ -71,13 +71,29 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Cache:
-    """Values of pre-tokens, made once each; two generations of ``limit`` at most, so memory stays bounded and what recurs stays."""
+    """Values of pre-tokens, made once each; two generations of ``limit`` at most, so memory stays bounded and what recurs stays.
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000):
+    A Python worker serves stage after stage: the caches of another ``owner`` are emptied when one is used, so they don't add up.
+    """
+
+    _in_use: list["Cache"] = []
+
+    def __init__(self, make: Callable[[list[str]], list], limit: int = 400_000, owner: object = None):
         self.make, self.limit, self.young, self.old = make, limit, {}, {}
+        self.owner = self if owner is None else owner
+
+    def _alone(self) -> None:
+        held = Cache._in_use
+        if held and held[0].owner is not self.owner:
+            for cache in held:
+                cache.young, cache.old = {}, {}
+            held.clear()
+        if not any(cache is self for cache in held):
+            held.append(self)
 
     def get(self, words: list[str]) -> list:
         """Values of distinct ``words``."""
+        self._alone()
         young, old = self.young, self.old
         out = list(map(young.get, words))
         if missing := [i for i, v in enumerate(out) if v is None]:
@@ -138,7 +154,7 @@ class Encoder:
                 out[i] = array("I", e.ids).tobytes()
             return out
 
-        stems = Cache(whole)
+        stems = Cache(whole, owner=self)
 
         def encode(words: list[str]) -> list[bytes]:
             # both tokenizers cut between a letter and these marks, so a word is encoded once, whatever mark follows it
@@ -149,7 +165,7 @@ class Encoder:
             known = dict(zip(parts, stems.get(parts), strict=True))
             return [known[c] + known[e] for c, e in zip(cut, ends, strict=True)]
 
-        self.cache = Cache(encode, 200_000)
+        self.cache = Cache(encode, 200_000, owner=self)
 
     @classmethod
     def of(cls, path: str, kind: str) -> "Encoder":

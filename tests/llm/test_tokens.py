@@ -6,7 +6,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from factloom.llm import packing, token_counts, token_output
+from factloom.llm import packing, pretokens, token_counts, token_output
 
 
 def texts(docs):
@@ -81,3 +81,10 @@ def test_packing_costs_least(seed):
     ends = packing.windows(points, kind, size, costs, 2.0)
     index = {p: j for j, p in enumerate(points.tolist())}
     assert abs(sum(cost(a, b, index[b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) - best[-1]) < 1e-9
+
+
+def test_caches_do_not_add_up():
+    a, b = pretokens.Cache(lambda ws: [len(w) for w in ws]), pretokens.Cache(lambda ws: [w.upper() for w in ws], 2)
+    assert a.get(["x", "yy"]) == [1, 2] and len(a.young) == 2
+    assert b.get(["x", "yy", "z"]) == ["X", "YY", "Z"] and not a.young and b.get(["z", "w"]) == ["Z", "W"]
+    assert a.get(["x"]) == [1] and not b.young and not b.old
