@@ -8,7 +8,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, jaccard_join, licenses, packing, suffix_dedup, syncmers, token_counts, token_output, toxicity
+from . import (
+    centroids,
+    decontamination,
+    divergence,
+    html_text,
+    jaccard_join,
+    licenses,
+    packing,
+    secrets,
+    suffix_dedup,
+    syncmers,
+    token_counts,
+    token_output,
+    toxicity,
+)
 from .common import shared_dir
 
 
@@ -58,10 +72,36 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_output, op2_toxicity, op3_decontamination, op4_jaccard_join, op5_syncmers, op6_html_text, op7_packing, op8_token_counts, op9_license_scan, op10_suffix_dedup]
+    found = [
+        op1_token_output,
+        op2_toxicity,
+        op3_decontamination,
+        op4_jaccard_join,
+        op5_syncmers,
+        op6_html_text,
+        op7_packing,
+        op8_token_counts,
+        op9_license_scan,
+        op10_suffix_dedup,
+        op11_secret_scan,
+        op12_centroid_clustering,
+        op13_source_divergence,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_centroid_clustering": centroids.SQL, "op13_source_divergence": divergence.SQL}
