@@ -1,6 +1,7 @@
 """Main text on templates without semantic tags, without classes, or with either; the ratios decide."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -89,3 +90,48 @@ def test_tables(spark):
     got = {(r.page_id, r.url, r.n_chars) for r in html_text.extract(pages).collect()}
     assert got == {(1, "u", 6 * 200_000 - 1), (2, None, 0), (None, "v", 0)} and html_text.extract(pages).count() == 4
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p " + 'a="x" ' * 10_000 + "<b>hi</b>",
+        "<div>" * 50_000 + "deep",
+        "<div>t " * 50_000,
+        '<p "a>" ' * 20_000,
+        "<p \"<p b='>\" " * 20_000,
+        "<noscript>" * 20_000 + "x",
+        "<b>" * 50_000 + "<hr>" * 50_000,
+        "<div>" * 20_000 + "<li>" * 20_000 + "x",
+        "<div>" * 20_000 + "</span>" * 50_000,
+        "<a " * 50_000,
+    ],
+)
+def test_malformed_pages_take_linear_time(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 8  # about half a second each; a quadratic reading takes minutes
+
+
+_LONG = "A sentence of some length, with commas. Another one follows it; and a third."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<article><div class="article-header"><h1>Title</h1></div><p>{_LONG}</p></article>', f"Title\n{_LONG}"),
+        (f'<article><h1>T</h1><p>{_LONG}</p><section class="related-work"><h2>Others</h2><p>{_LONG}</p></section></article>', f"T\n{_LONG}\nOthers\n{_LONG}"),
+        (f'<article><p>{_LONG}</p><div class="related"><h3>More</h3><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></div></article>', _LONG),
+        (f'<article><p>{_LONG}</p><div class="feedback"><p>{_LONG}</p></div></article>', _LONG),
+        (f"<article><p>{_LONG}</p><p>Here <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", f"{_LONG}\nHere x=1 holds."),
+        (f"<article><p>{_LONG}</p><p>{_LONG}</p><h4>See</h4><p>also</p><div><a href=a>One</a></div><div><a href=b>Two</a></div></article>", f"{_LONG}\n{_LONG}\nSee\nalso"),
+        (f"<p title='a' b=\"c>d\">{_LONG}</p><p 'x>{_LONG}</p>", f"{_LONG}\n{_LONG}"),
+    ],
+)
+def test_names_and_ratios(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_ratios_decide_on_given_pages(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    assert sum(html_text.main_text(p, share=0) != html_text.main_text(p) for p in pages) > 0
