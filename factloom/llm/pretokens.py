@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from .common import flat
 
 SEP = "\x1f"
+#: sentencepiece writes blanks as this character, so one in a text is a blank to it.
+BLANK = "\u2581"
 #: White space by any reading, before a blank or line feed.
 _DOUBLE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{180e}\x{200b}\p{Z}][ \n]"
 _BYTE_CUT = re.compile(r"(?<=[^\s\u180e\u200b])(?=[ \n])")
@@ -46,6 +48,7 @@ def split(texts: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray, list[str]
         parts = flat(pc.split_pattern(lower, " "))
     else:
         if kind == "piece":
+            texts = pc.replace_substring(texts, BLANK, " ")
             texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise("", texts, " "))
             odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, SEP))
         else:

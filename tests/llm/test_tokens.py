@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -88,3 +90,14 @@ def test_caches_do_not_add_up():
     assert a.get(["x", "yy"]) == [1, 2] and len(a.young) == 2
     assert b.get(["x", "yy", "z"]) == ["X", "YY", "Z"] and not a.young and b.get(["z", "w"]) == ["Z", "W"]
     assert a.get(["x"]) == [1] and not b.young and not b.old
+
+
+def test_token_counts_of_odd_texts():
+    """Blanks in a row, the library's own sign for a blank, special strings, marks and line feeds in any order."""
+    rng, model = random.Random(8), public_tokenizers.path("piece_bpe_32k.model")
+    signs = ["a", "b", "the", "ing", " ", "  ", "▁", " ▁ ", "\n", "\t", "\r", "\x00", "\x1f", "　", "​", "ﬁ", "é", "日", "😀", ".", "0", "1 2", "<s>", "</s>", "<unk>", "<0x0A>"]
+    odd = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(20_000)]
+    codes, offsets, words = pretokens.split(pa.array(odd), "piece")
+    sums = np.concatenate([[0], np.cumsum(np.array(token_counts._counter(model).get(words))[codes])])
+    want = [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=model).encode(odd)]
+    assert (sums[offsets[1:]] - sums[offsets[:-1]]).tolist() == want
