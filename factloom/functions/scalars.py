@@ -115,6 +115,11 @@ def mask_once(text: Column, words: Column) -> Column:
     return F.aggregate(words, text, lambda acc, w: F.regexp_replace(acc, F.concat(F.lit(r"^(.*?)\b"), w, F.lit(r"\b")), F.lit("$1 ")))
 
 
+def blank_once(text: Column, words: Column) -> Column:
+    """``text`` with the first occurrence of each of ``words`` (of a-z and 0-9) written as lines of its length, so that places stay."""
+    return F.aggregate(words, text, lambda acc, w: F.regexp_replace(acc, F.concat(F.lit(r"^(.*?)\b"), w, F.lit(r"\b")), F.concat(F.lit("$1"), F.repeat(F.lit("_"), F.length(w)))))
+
+
 def words_to_number(text: Column) -> Column:
     """Number words up to hundreds; null if any word is unknown, or if "hundred" has no number before it."""
     table = F.create_map(*[F.lit(x) for kv in NUMBER_WORDS.items() for x in kv])
@@ -124,22 +129,33 @@ def words_to_number(text: Column) -> Column:
 
 
 def norm_amount(text: Column) -> Column:
-    """Question text for amounts: lower case, dashes and other marks to blanks, but commas and points of numbers."""
-    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?<=\d)(crores?|cr|lakhs?|lacs?)\b", " $1"), r"[^a-z0-9.,%]+|[.,](?!\d)", " "))
+    """Question text for amounts: lower case, no commas, points and dashes kept, digits apart from letters ("70cr")."""
+    low = F.regexp_replace(F.regexp_replace(F.lower(text), ",", ""), "&", " and ")
+    return squeeze(F.regexp_replace(F.regexp_replace(low, "[^a-z0-9. -]+", " "), r"(\d)\s*([a-z])", "$1 $2"))
 
 
 def find_amount(text: Column) -> Column:
-    """A threshold in crore or lakh, in digits or number words; crore first; an amount of zero is none."""
-    words = "|".join([*NUMBER_WORDS, "hundred", "and"])
+    """A threshold in crore or lakh, in digits or number words; crore first; an amount of zero is none.
+
+    Words are read from each unit back: of the four before it (and "and"s) the longest run that is a number.
+    """
     text = norm_amount(text)
 
+    def before(unit: str) -> Column:
+        """Of each unit, in order, the words and digits before it."""
+        return F.regexp_extract_all(text, F.lit(rf"((?:[a-z0-9.]+[ -]+){{0,6}}?[a-z0-9.]+)[ -]+(?:{unit})\b"), F.lit(1))
+
+    def number(piece: Column) -> Column:
+        words = F.split(piece, "[ -]+")
+        digits = F.regexp_extract(piece, r"([0-9.]+)$", 1).try_cast("decimal(18,4)")
+        tail = lambda n: words_to_number(F.array_join(F.slice(words, -F.least(F.lit(n), F.size(words)), F.lit(n)), " "))
+        return F.coalesce(digits, *[tail(n).cast("decimal(18,4)") for n in (6, 5, 4, 3, 2, 1)])
+
     def at(unit: str, by: int) -> Column:
-        digits = F.regexp_replace(group(text, rf"(\d[\d,]*(?:\.\d+)?)\s*{unit}\b"), ",", "").try_cast("decimal(18,4)")
-        spelled = words_to_number(group(text, rf"\b((?:(?:{words})\s+)+){unit}\b")).cast("decimal(18,4)")
-        found = F.coalesce(digits, spelled)
-        return F.when(found > 0, found * by)
+        found = F.transform(before(unit), number)
+        return F.get(F.filter(found, lambda x: x > 0), F.lit(0)) * by
 
-    return F.coalesce(at("(?:crores?|cr)", UNITS["crore"]), at("(?:lakhs?|lacs?)", UNITS["lakh"])).cast("decimal(18,2)")
+    return F.coalesce(at("crores?|cr", UNITS["crore"]), at("lakhs?|lacs?", UNITS["lakh"])).cast("decimal(18,2)")
 
 
 def years_in(text: Column) -> Column:

@@ -24,8 +24,6 @@ CREDENTIALS = [
     ("iso lead auditor", r"lead auditor"),
 ]
 STATE_WORDS = sorted({w for s in X.STATES for w in s.split()})
-#: Words of the longest name or label that is looked for.
-NAME_WORDS = 6
 
 
 def words_of(text: Column) -> Column:
@@ -43,12 +41,16 @@ def state_of(text: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(padded, F.lit(f" {s} ")), s) for s in sorted(X.STATES, key=lambda s: (-len(s), s))])
 
 
-def _ngrams(words: Column, most: int = NAME_WORDS) -> Column:
-    """(text, first word, length) of every run of at most ``most`` words."""
-    starts = F.transform(words, lambda _, i: i)
+def _lengths(names: DataFrame, words: Column) -> list[int]:
+    """The numbers of words that names have: one number for each length that occurs, however many names there are."""
+    return sorted(r[0] for r in names.select(F.size(words)).distinct().collect() if r[0] and r[0] > 0)
+
+
+def _ngrams(words: Column, lengths: list[int]) -> Column:
+    """(text, place of the first word, length) of every run of words of one of ``lengths``."""
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.size(words))
     run = lambda i, n: F.struct(F.array_join(F.slice(words, i + 1, n), " ").alias("text"), i.alias("at"), n.alias("n"))
-    runs = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - i)), lambda n: run(i, n)))
-    return F.flatten(runs)
+    return F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: run(i, n))))
 
 
 def _best(df: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -164,7 +166,8 @@ def resolve_works(questions: DataFrame, works: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------------------------- people
 def named_managers(questions: DataFrame, managers: DataFrame) -> DataFrame:
     """qid, manager_key, name_key, at, n of every whole name in a question, without names inside longer ones."""
-    runs = questions.select("qid", F.explode(_ngrams(words_of(F.col("nq")))).alias("run")).select("qid", "run.*")
+    lengths = _lengths(managers, F.split("name_key", " "))
+    runs = questions.select("qid", F.explode(_ngrams(words_of(F.col("nq")), lengths)).alias("run")).select("qid", "run.*")
     found = runs.join(managers.select("manager_key", "name_key"), runs.text == F.col("name_key")).select("qid", "manager_key", "name_key", "at", "n")
     longer = found.select(F.col("qid").alias("q2"), F.col("at").alias("at2"), F.col("n").alias("n2"))
     inside = (F.col("qid") == F.col("q2")) & (F.col("at2") <= F.col("at")) & (F.col("at2") + F.col("n2") >= F.col("at") + F.col("n")) & (F.col("n2") > F.col("n"))
@@ -195,28 +198,47 @@ def resolve_managers(questions: DataFrame, managers: DataFrame) -> DataFrame:
 
 
 # --------------------------------------------------------------------------------------------- categories
+def without_client(questions: DataFrame, clients: DataFrame) -> DataFrame:
+    """``questions`` (qid, nq) with the first occurrence of each word of their client's name (qid, client_name) blanked: "Irrigation Department, excluding
+    irrigation" names the category once."""
+    tokens = F.filter(words_of(X.norm_question(F.col("client_name"))), lambda w: ~w.isin(*STOPWORDS))
+    named = questions.join(clients.select("qid", "client_name"), "qid", "left")
+    return named.withColumn("nq", F.when(F.col("client_name").isNotNull(), X.blank_once(F.col("nq"), tokens)).otherwise(F.col("nq"))).drop("client_name")
+
+
 def named_categories(questions: DataFrame, labels: DataFrame) -> DataFrame:
-    """qid, categories: the labels that a question names, as written: the longest first where they overlap; "and" between words doesn't count.
+    """qid, categories, category. ``categories``: the labels that a question names, as written: the longest first where they overlap; "and" between
+    words doesn't count. ``category``: the longest of them, of equally long ones the first by name.
 
     A label's shorter form names a second one: after "roads highways", "maintenance" within 40 characters means "roads maintenance".
-    ``labels``: category, a small table of distinct labels. Words to leave out (a client's name) are masked in ``nq`` beforehand.
+    ``labels``: category, a table of distinct labels of any number of words. Words to leave out (a client's name) are blanked in ``nq`` beforehand.
     """
     key = lambda c: F.array_join(F.filter(words_of(X.norm_question(c)), lambda w: w != "and"), " ")
-    known = labels.where("category != ''").select("category", key(F.col("category")).alias("key"))
-    q = questions.select("qid", F.filter(words_of(F.col("nq")), lambda w: w != "and").alias("words"))
-    runs = q.select("qid", "words", F.explode(_ngrams(F.col("words"))).alias("run")).select("qid", "words", "run.*")
+    known = labels.where("category != ''").select("category", key(F.col("category")).alias("key")).where("key != ''")
+    lengths = _lengths(known, F.split("key", " "))
+    q = questions.where("nq is not null").select("qid", F.split("nq", " ").alias("words"))
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: ~x["w"].isin("", "and") & ~x["w"].rlike("^_+$"))
+    q = q.withColumn("placed", placed)
+    runs = q.select("qid", "words", "placed", F.explode(_ngrams(F.transform("placed", lambda x: x["w"]), lengths)).alias("run")).select("qid", "words", "placed", "run.*")
     found = runs.join(F.broadcast(known) if _small(known) else known, runs.text == F.col("key"))
-    hits = found.groupBy("qid", "words").agg(F.array_sort(F.collect_list(F.struct((-F.length("key")).alias("order"), "at", "n", "category", "key"))).alias("hits"))
+    word = lambda i: F.get("placed", i)["i"]
+    found = found.withColumn("first", word(F.col("at"))).withColumn("last", word(F.col("at") + F.col("n") - 1))
+    hit = F.struct((-F.length("category")).alias("order"), "category", "at", "n", "key", "first", "last")
+    hits = found.groupBy("qid", "words").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     overlaps = lambda acc, h: F.exists(acc, lambda o: (o["at"] < h["at"] + h["n"]) & (o["at"] + o["n"] > h["at"]))
     none = F.filter("hits", lambda h: F.lit(False))
     kept = hits.withColumn("hits", F.aggregate("hits", none, lambda acc, h: F.when(overlaps(acc, h), acc).otherwise(F.concat(acc, F.array(h)))))
     each = kept.select("qid", "words", F.explode("hits").alias("h"), F.transform("hits", lambda h: h["category"]).alias("have"))
     heads = known.select(F.col("category").alias("other"), F.element_at(F.split("key", " "), 1).alias("head"), F.element_at(F.split("key", " "), -1).alias("tail"))
-    after = F.substring(F.array_join(F.slice("words", F.col("h.at") + F.col("h.n") + 1, 40), " "), 1, 40)
+    after = F.substring(F.concat(F.lit(" "), F.array_join(F.slice("words", F.col("h.last") + 2, 41), " ")), 1, 40)
     short = each.withColumn("head", F.element_at(F.split("h.key", " "), 1)).withColumn("after", after).join(heads, "head").where(~F.array_contains("have", F.col("other")))
-    short = short.where(F.rlike("after", F.concat(F.lit(r"\b"), "tail", F.lit(r"\b")))).select("qid", (F.col("h.at") + F.col("h.n") + F.lit(0.5)).alias("at"), F.col("other").alias("category"))
-    whole = each.select("qid", F.col("h.at").cast("double").alias("at"), F.col("h.category").alias("category"))
-    return whole.unionByName(short).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "category"))), lambda x: x["category"]).alias("categories"))
+    short = short.withColumn("from", F.regexp_instr("after", F.concat(F.lit(r"\b"), "tail", F.lit(r"\b")))).where(F.col("from") > 0)
+    place = F.col("h.last") + F.size(F.split(F.substring("after", F.lit(1), F.col("from") - 1), " ")) - 1
+    short = short.groupBy("qid", F.col("other").alias("category")).agg(F.min(place).alias("at"), F.lit(True).alias("short"))
+    whole = each.select("qid", F.col("h.category").alias("category"), F.col("h.first").alias("at"), F.lit(False).alias("short"))
+    every = F.transform(F.array_sort(F.collect_list(F.struct("at", "category"))), lambda x: x["category"])
+    longest = F.min(F.when(~F.col("short"), F.struct((-F.length("category")).alias("n"), "category")))["category"]
+    return whole.unionByName(short).groupBy("qid").agg(every.alias("categories"), longest.alias("category"))
 
 
 def _small(df: DataFrame, limit: int = 10_000) -> bool:

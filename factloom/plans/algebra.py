@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 KEYS = {"client": ["client_key"], "engineer": ["manager_key"], "work": ["pkg"], "corpus": []}
 WORK_AGGS = ["count", "distinct_categories", "distinct_clients", "distinct_managers", "distinct_states", "distinct_business_units", "days_since_anchor_date", "sum_value", "mean_value", "median_value", "max_value", "min_value", "nth_largest_value", "top_n_sum_by_client", "max_client_value"]
 INVOICE_AGGS = ["count_invoices", "sum_invoiced", "sum_received", "sum_outstanding"]
@@ -127,6 +129,10 @@ def _aggregate(m: Measure, rows: DataFrame, keys: list[str], name: str) -> DataF
             return sums.groupBy(*keys).agg(F.max("v").alias(name))
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("v").desc(), "client_key"))
         return sums.withColumn("_n", rank).where(F.col("_n") <= max(1, m.n)).groupBy(*keys).agg(F.sum("v").alias(name))
+    if m.agg in ("nth_largest_value", "median_value") and not keys:
+        counts = selection.counted(rows.where(ok), [])
+        ranks = counts.agg(F.lit(max(1, m.n)).alias("rank")) if m.agg == "nth_largest_value" else selection.middle(counts, [])
+        return selection.at_ranks(counts, [], ranks).agg((F.sum("value") / F.count("*")).alias(name))
     if m.agg in ("nth_largest_value", "median_value"):
         order = Window.partitionBy(*keys).orderBy(F.col("value").desc(), "pkg")
         ranked = rows.where(ok).withColumn("_n", F.row_number().over(order))

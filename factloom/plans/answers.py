@@ -9,17 +9,15 @@ has a null value and its error; a question without any answer takes its type's f
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import reconcile, resolve
 from ..sources.scratch import cut
-from . import rules
-from .algebra import ANCHOR, Measure, Plan, PlanError, analyze
+from . import rules, selection
+from .algebra import ANCHOR, COMBINES, FILTERS, INVOICE_AGGS, KEYS, WORK_AGGS, Plan
 
 _MEASURE = (
     "struct<source:string, scope:string, agg:string, n:int, value:string, filters:struct<categories_in:array<string>, categories_not_in:array<string>, role:string, "
@@ -27,8 +25,6 @@ _MEASURE = (
 )
 _PLAN = f"struct<left:{_MEASURE}, right:{_MEASURE}, combine:string>"
 RANKED, BY_CLIENT = ["nth_largest_value", "median_value"], ["top_n_sum_by_client", "max_client_value"]
-#: Labels, and distinct measures of the whole corpus, that may be held at once.
-MOST = 10_000
 
 
 def to_json(plan: Plan) -> str:
@@ -36,55 +32,47 @@ def to_json(plan: Plan) -> str:
     return json.dumps({"left": side(plan.left), "right": side(plan.right), "combine": plan.combine})
 
 
-def from_json(text: str) -> Plan:
-    """A plan from JSON as a model writes it; PlanError for what is none."""
-    try:
-        raw = json.loads(text)
-    except (TypeError, ValueError) as e:
-        raise PlanError("not JSON") from e
-    if not isinstance(raw, dict) or not isinstance(raw.get("left"), dict):
-        raise PlanError("not a plan")
-
-    def side(m) -> Measure:
-        if not isinstance(m, dict):
-            raise PlanError("a side is not an object")
-        known = {k: m[k] for k in ("source", "scope", "agg", "filters", "n", "value") if m.get(k) is not None}
-        return Measure(**known)
-
-    return Plan(side(raw["left"]), side(raw["right"]) if raw.get("right") else None, raw.get("combine") or "left")
-
-
-def by_rules(questions: DataFrame, labels: list[str]) -> DataFrame:
-    """cid, qid, source, place, plan, shape, matched: the rules' reading of every question (qid, question, answer_type)."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for q, text, kind in zip(part["qid"], part["question"], part["answer_type"], strict=True):
-                try:
-                    shape, plan, matched = rules.classify(text or "", kind, labels)
-                    rows.append((f"{q}/rules", q, "rules", 0, to_json(plan), shape, matched))
-                except ValueError:
-                    rows.append((f"{q}/rules", q, "rules", 0, None, None, False))
-            yield pd.DataFrame(rows, columns=["cid", "qid", "source", "place", "plan", "shape", "matched"])
-
-    return questions.select("qid", "question", "answer_type").mapInPandas(run, "cid string, qid string, source string, place int, plan string, shape string, matched boolean")
-
-
 def analyzed(candidates: DataFrame) -> DataFrame:
-    """``candidates`` with ``plan`` in normal form, or null and ``error``."""
-
-    @F.pandas_udf("plan string, error string")
-    def normal(plans: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in plans:
-            try:
-                out.append((to_json(analyze(from_json(text))), None))
-            except (PlanError, TypeError, AttributeError) as e:
-                out.append((None, f"invalid plan: {e}"))
-        return pd.DataFrame(out, columns=["plan", "error"])
-
-    return candidates.withColumn("_a", normal("plan")).withColumn("plan", F.col("_a.plan")).withColumn("error", F.col("_a.error")).drop("_a")
+    """``candidates`` with ``plan`` in normal form, or null and ``error``: the checks of ``algebra.analyze`` as expressions."""
+    p = F.from_json("plan", _PLAN)
+    parsed = candidates.withColumn("_p", p).withColumn("_combine", F.coalesce(F.get_json_object("plan", "$.combine"), F.lit("left")))
+
+    def wrong(side: str) -> Column:
+        m, raw = F.col(f"_p.{side}"), F.get_json_object("plan", f"$.{side}.filters")
+        source, scope, agg = (F.coalesce(m[k], F.lit(v)) for k, v in (("source", "works"), ("scope", "client"), ("agg", "sum_value")))
+        unknown = F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, FILTERS)))
+        return (
+            F.when(F.json_object_keys(F.get_json_object("plan", f"$.{side}")).isNull(), "a side is not an object")
+            .when(source == "constant", F.when(m["value"].isNull(), "a constant needs a value"))
+            .when(~source.isin("works", "invoices"), F.concat(F.lit("unknown source "), source))
+            .when(~scope.isin(*KEYS), F.concat(F.lit("unknown scope "), scope))
+            .when(~agg.isin(*WORK_AGGS, *INVOICE_AGGS), F.concat(F.lit("unknown aggregate "), agg))
+            .when(agg.isin(*INVOICE_AGGS) != (source == "invoices"), F.concat(agg, F.lit(" is not an aggregate of "), source))
+            .when(raw.isNotNull() & F.json_object_keys(raw).isNull(), "filters are not an object")
+            .when(F.size(unknown) > 0, F.concat(F.lit("unknown filters "), F.array_join(unknown, ", ")))
+        )
+
+    two = F.col("_combine") != "left"
+    error = (
+        F.when(F.json_object_keys("plan").isNull(), "not JSON")
+        .when(~F.col("_combine").isin(*COMBINES), F.concat(F.lit("unknown combine "), "_combine"))
+        .when(two & F.get_json_object("plan", "$.right").isNull(), F.concat("_combine", F.lit(" needs a right side")))
+    )
+    error = F.concat(F.lit("invalid plan: "), F.coalesce(error, wrong("left"), F.when(two, wrong("right"))))
+
+    def normal(side: str) -> Column:
+        m = F.col(f"_p.{side}")
+        date = lambda k: F.when(m["filters"][k].rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(m["filters"][k], 1, 10)).when(m["filters"][k].isNotNull(), ANCHOR)
+        lower = lambda k: F.transform(m["filters"][k], F.lower)
+        own = {"categories_in": lower("categories_in"), "categories_not_in": lower("categories_not_in"), "completed_after": date("completed_after"), "completed_before": date("completed_before")}
+        filters = F.struct(*[own.get(k, m["filters"][k]).alias(k) for k in FILTERS])
+        scalars = [F.coalesce(m[k], F.lit(v)).alias(k) for k, v in (("source", "works"), ("scope", "client"), ("agg", "sum_value"))]
+        n = F.coalesce(F.nullif(m["n"], F.lit(0)), F.lit(2))
+        return F.struct(*scalars, n.alias("n"), m["value"].alias("value"), F.when(m["filters"].isNotNull(), filters).alias("filters"))
+
+    plan = F.to_json(F.struct(normal("left").alias("left"), F.when(two, normal("right")).alias("right"), F.col("_combine").alias("combine")))
+    checked = parsed.withColumn("error", error)
+    return checked.withColumn("plan", F.when(F.col("error").isNull(), plan)).drop("_p", "_combine")
 
 
 def measures(candidates: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -114,18 +102,47 @@ def _passes(source: str) -> Column:
     return ok & same("role") & same("grading") & same("state") & (f("has_reference_letter").isNull() | (F.col("has_ref") == f("has_reference_letter")))
 
 
+#: A measure of the whole corpus meets rows by one column that it asks to be equal: (column, filter), the first that it has.
+_EQUAL = {
+    "works": [("category", "categories_in"), ("year", "years_in"), ("state", "state"), ("grading", "grading"), ("role", "role"), ("has_ref", "has_reference_letter")],
+    "invoices": [("year", "years_in"), ("status", "status")],
+}
+#: Rows of one value are dealt over so many lots, each of which has all measures of that value.
+LOTS = 64
+
+
+def _corpus_rows(of: DataFrame, facts: DataFrame, source: str) -> DataFrame | None:
+    """Rows that measures of the whole corpus may take: a join on the value of one of the columns that a measure restricts, so a row meets only
+    measures of its category (or year, state, ...) and those without any such filter. No measure is too many, and no value too frequent."""
+    names = [name for name, _ in _EQUAL[source]]
+
+    def wanted(f: str) -> Column:
+        values = F.col(f"m.filters.{f}")
+        return F.array_distinct(F.transform(values, lambda v: F.lower(v.cast("string")))) if f.endswith("_in") else F.array(F.lower(values.cast("string")))
+
+    def own(name: str) -> Column:
+        value = F.year("completed" if source == "works" else "date") if name == "year" else F.col(name)
+        return F.lower(F.coalesce(value.cast("string"), F.lit(""))) if name != "category" else F.lower("category")
+
+    has = {name: F.col(f"m.filters.{f}").isNotNull() for name, f in _EQUAL[source]}
+    kind = F.coalesce(*[F.when(has[name], name) for name in names], F.lit("any"))
+    values = F.coalesce(*[F.when(has[name], wanted(f)) for name, f in _EQUAL[source]], F.array(F.lit("")))
+    part = of.withColumn("_kind", kind).withColumn("_at", F.explode(values)).withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+    used = [r[0] for r in part.select("_kind").distinct().collect()]  # names of columns
+    if not used:
+        return None
+    at = F.array(*[F.struct(F.lit(k).alias("_kind"), (F.lit("") if k == "any" else own(k)).alias("_at")) for k in used])
+    lot = F.pmod(F.xxhash64(*facts.columns), F.lit(LOTS)).cast("int")
+    rows = facts.withColumn("_lot", lot).withColumn("_k", F.explode(at)).select("*", "_k._kind", "_k._at").drop("_k")
+    return part.join(rows, ["_kind", "_at", "_lot"]).drop("_kind", "_at", "_lot")
+
+
 def _rows(of: DataFrame, facts: DataFrame, source: str, keys: dict[str, str]) -> DataFrame:
-    """Rows of each measure's scope that pass its filters: joined by key for each scope; the corpus' few distinct measures are broadcast."""
+    """Rows of each measure's scope that pass its filters: joined by the scope's key, or, for the whole corpus, by ``_corpus_rows``."""
     out = None
     for scope, key in keys.items():
         part = of.where(F.col("m.scope") == scope) if source == "works" else of.where((F.col("m.scope") == "corpus") == (scope == "corpus"))
-        if scope == "corpus":
-            n = part.limit(MOST + 1).count()
-            if n > MOST:
-                raise ValueError(f"more than {MOST} distinct measures of the whole corpus: answer them in parts")
-            joined = facts.join(F.broadcast(part), F.lit(True)) if n else None
-        else:
-            joined = part.join(facts, part["key"] == facts[key])
+        joined = _corpus_rows(part, facts, source) if scope == "corpus" else part.join(facts, part["key"] == facts[key])
         if joined is not None:
             out = joined if out is None else out.unionByName(joined)
     return out.where(_passes(source))
@@ -150,9 +167,17 @@ def evaluate(bound: DataFrame, works: DataFrame, invoices: DataFrame) -> DataFra
     # counts of nothing
     out = out.unionByName(w.where(agg.startswith("count") | (agg.startswith("distinct") & (agg != "distinct_business_units"))).join(sums, "mid", "left_anti").select("mid", exact(F.lit(0)).alias("value")))
     of = Window.partitionBy("mid")
-    ranked = _rows(w.where(agg.isin(*RANKED)), works, "works", keys).withColumn("_n", F.row_number().over(of.orderBy(F.col("value").desc(), "pkg"))).withColumn("_c", F.count("*").over(of))
+    apart = {k: v for k, v in keys.items() if k != "corpus"}
+    ranked = _rows(w.where(agg.isin(*RANKED) & (F.col("m.scope") != "corpus")), works, "works", apart).withColumn("_n", F.row_number().over(of.orderBy(F.col("value").desc(), "pkg"))).withColumn("_c", F.count("*").over(of))
     nth = ranked.where((agg == "nth_largest_value") & (F.col("_n") == F.greatest(F.lit(1), F.col("m.n")))).select("mid", exact(F.col("value")).alias("value"))
     middle = ranked.where((agg == "median_value") & F.expr("_n in (floor((_c + 1) / 2), floor((_c + 2) / 2))")).groupBy("mid").agg(exact(F.sum("value").cast("decimal(28,8)") / F.count("*")).alias("value"))
+    whole = _rows(w.where(agg.isin(*RANKED) & (F.col("m.scope") == "corpus")), works, "works", {"client": "client_key", "corpus": ""})
+    counts = cut(selection.counted(whole.select("mid", "value"), ["mid"]), "counts")
+    of_corpus = w.where(F.col("m.scope") == "corpus").select("mid", agg.alias("agg"), F.greatest(F.lit(1), F.col("m.n")).alias("rank"))
+    medians = selection.middle(counts, ["mid"]).join(of_corpus.where("agg = 'median_value'").select("mid"), "mid")
+    ranks = of_corpus.where("agg = 'nth_largest_value'").select("mid", F.col("rank").cast("long").alias("rank")).unionByName(medians)
+    chosen = selection.at_ranks(counts, ["mid"], ranks)
+    nth = nth.unionByName(chosen.groupBy("mid").agg(exact(F.sum("value").cast("decimal(28,8)") / F.count("*")).alias("value")))
     clients = _rows(w.where(agg.isin(*BY_CLIENT)), works, "works", keys).groupBy("mid", "m", "client_key").agg(F.sum("value").alias("v"))
     top = F.row_number().over(of.orderBy(F.col("v").desc(), "client_key"))
     most = F.when(agg == "max_client_value", 1).otherwise(F.greatest(F.lit(1), F.col("m.n")))
@@ -194,11 +219,12 @@ def answer(questions: DataFrame, works: DataFrame, invoices: DataFrame, managers
     ``works`` has ``anchor``-free facts with business_unit and work_name; ``model``: qid, place, plan (JSON) of a model's plans, if there are any. The
     rules are sure of a question if a cue matched, the plan ran, and the client isn't just the engineer's principal account.
     """
-    labels = [r[0] for r in works.where("category != ''").select("category").distinct().limit(MOST + 1).collect()]
-    if len(labels) > MOST:
-        raise ValueError(f"more than {MOST} categories")
     anchors = cut(resolve.anchors(questions, works, managers, table, credentials), "anchors")
-    ruled = cut(by_rules(questions, sorted(labels)), "ruled")
+    names = works.groupBy("client_key").agg(F.min_by("client_name", "pkg").alias("client_name"))
+    told = anchors.where(F.col("client_from").isin("question", "mention")).select("qid", "client_key").join(names, "client_key")
+    labels = works.where("category != ''").select("category").distinct()
+    spans = resolve.named_categories(resolve.without_client(resolve.asked(questions).select("qid", "nq"), told), labels)
+    ruled = cut(rules.by_rules(questions.select("qid", "question", "answer_type").join(spans, "qid", "left")), "ruled")
     every = ruled.select("cid", "qid", "source", "place", "plan")
     if model is not None:
         every = every.unionByName(model.select(F.concat_ws("/", "qid", F.lit("model"), "place").alias("cid"), "qid", F.lit("model").alias("source"), F.col("place").cast("int").alias("place"), "plan"))
