@@ -368,12 +368,12 @@ _shapes()
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_documents, catalog_questions  # noqa: F401  they register their queries here
+    from . import catalog_documents, catalog_estate, catalog_questions  # noqa: F401  they register their queries here
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_documents, catalog_questions  # noqa: F401
+    from . import catalog_documents, catalog_estate, catalog_questions  # noqa: F401
 
     return dict(_sql)

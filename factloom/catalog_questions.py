@@ -223,3 +223,60 @@ def answered_or_fallback(spark, sf_dir):
     asked = facts.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("qid"), F.concat(F.lit("What is the total value of works for "), "c_name", F.lit("?")).alias("question"), F.lit("money").alias("answer_type"))
     out = answers.answer(asked, w, facts.invoices(spark, sf_dir), facts.managers(spark, sf_dir), table, facts.credentials(spark, sf_dir))
     return out.select("qid", F.col("answer").cast("double").alias("answer"), "source")
+
+
+# a model's plans, and scores
+#: (a model's words for a category, the label meant or null): equal, spelled otherwise, holding, held, half covered, nothing.
+_SNAPS = [("urgent", "urgent"), ("URGENT!", "urgent"), ("urgent road works", "urgent"), ("specif", "not specified"), ("items as specified later", "not specified"), ("zebra", None), ("medium-size", "medium"), ("  ", None)]
+_ROLE_WORDS = [("prime", "Prime"), ("as lead firm", "Prime"), ("joint-venture member", "JV Partner"), ("subcontract", "Sub-contractor"), ("observer", None), ("", None), ("JV Partner", "JV Partner")]
+
+
+@_query(
+    f"""with c as (select c_custkey k, {_quoted([b for _, b in _SNAPS])}[cast(c_custkey % {len(_SNAPS)} as int) + 1] one, {_quoted([b for _, b in _SNAPS])}[cast((c_custkey + 3) % {len(_SNAPS)} as int) + 1] two,
+      {_quoted([b for _, b in _ROLE_WORDS])}[cast(c_custkey % {len(_ROLE_WORDS)} as int) + 1] as r from customer)
+    select cast(k as varchar) as qid, k % 11 = 0 as none, case when k % 11 = 0 then '' else array_to_string(list_sort(list_distinct(list_filter([one, two], lambda x: x is not null))), ',') end as categories,
+      case when k % 11 != 0 then r end as role, case when k % 11 != 0 and k % 4 > 0 then cast(k % 4 as varchar) end as min_value,
+      case when k % 11 != 0 and k % 3 = 0 then true when k % 11 != 0 and k % 3 = 1 then false end as letter from c""",
+    views=False,
+)
+def snapped_plans(spark, sf_dir):
+    """A model's plan for each customer: its words for categories and roles onto those of the store, or no filter; every eleventh has no left side."""
+    from .plans import wire
+
+    k = F.col("k")
+    pick = lambda values, step=0: F.get(F.array(*map(F.lit, values)), F.pmod(k + step, F.lit(len(values))).cast("int"))
+    words, roles = [a for a, _ in _SNAPS], [a for a, _ in _ROLE_WORDS]
+    left = F.struct(
+        F.when(k % 11 == 0, "none").otherwise("works").alias("source"), F.lit("sum_value").alias("agg"), F.array(pick(words), pick(words, 3)).alias("categories_in"), pick(roles).alias("role"),
+        (k % 4).cast("string").alias("min_value"), F.when(k % 3 == 0, "yes").when(k % 3 == 1, "No").otherwise("any").alias("has_reference_letter"),
+    )
+    c = facts.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    wires = c.select(k.cast("string").alias("qid"), F.lit(0).alias("place"), F.to_json(F.struct(left.alias("left"), k.cast("string").alias("reading"))).alias("wire"))
+    out = answers.analyzed(wire.plans(wires, facts.works(spark, sf_dir).select("category").distinct()))
+    plan = lambda path: F.get_json_object("plan", f"$.left.filters.{path}")
+    categories = F.array_join(F.coalesce(F.from_json(plan("categories_in"), "array<string>"), F.array().cast("array<string>")), ",")
+    return out.select("qid", F.col("plan").isNull().alias("none"), categories.alias("categories"), plan("role").alias("role"), plan("min_value").alias("min_value"), plan("has_reference_letter").cast("boolean").alias("letter"))
+
+
+@_query(
+    """with k as (select pkg, value, case pkg % 4 when 0 then 'money' when 1 then 'count' when 2 then 'percent' else 'days' end as answer_type, case pkg % 3 when 0 then 'T1' when 1 then 'T2' end as tier,
+      pkg % 7 != 0 as answered, case when pkg % 7 = 0 then false when pkg % 4 = 0 then pkg % 5 != 1 when pkg % 4 = 2 then pkg % 5 != 2 else pkg % 5 != 3 end as ok,
+      case when pkg % 6 = 0 then '?' else 'shape_' || pkg % 3 end as shape, case when pkg % 6 = 0 then '?' else 'rules' end as source from work)
+    select case when grouping(answer_type) = 0 then 'answer_type' when grouping(tier) = 0 then 'tier' when grouping(shape) = 0 then 'shape' when grouping(source) = 0 then 'source' else 'all' end as "by",
+      coalesce(answer_type, tier, shape, source, case when grouping(tier) = 0 then '?' else '' end) as value, count(*) as questions, count(*) filter (where answered) as answered, count(*) filter (where ok) as "right"
+    from k group by grouping sets ((), (answer_type), (tier), (shape), (source))"""
+)
+def scored_answers(spark, sf_dir):
+    """Answers of every work's question: some missing, some within the tolerance of their type, some not."""
+    from .plans import scoring
+
+    w, k = facts.works(spark, sf_dir).select("pkg", F.col("value").cast("double").alias("value")), F.col("pkg")
+    kind = F.get(F.array(*map(F.lit, ("money", "count", "percent", "days"))), (k % 4).cast("int"))
+    want = F.when(k % 4 == 2, (k % 90).cast("double")).when(k % 4 == 0, F.col("value")).otherwise((k % 500).cast("double"))
+    w = w.select("pkg", k.cast("string").alias("qid"), kind.alias("answer_type"), F.when(k % 3 == 0, "T1").when(k % 3 == 1, "T2").alias("tier"), want.alias("want"))
+    money = F.col("want") * F.when(k % 5 == 1, 1.01).when(k % 5 == 2, 1.004).otherwise(1.0)
+    percent = F.col("want") + F.when(k % 5 == 2, 0.06).when(k % 5 == 1, 0.04).otherwise(0.0)
+    got = F.when(k % 4 == 0, money).when(k % 4 == 2, percent).otherwise(F.col("want") + F.when(k % 5 == 3, 1).otherwise(0))
+    given = w.where("pkg % 7 != 0").select("qid", got.cast("string").alias("answer"))
+    log = w.where("pkg % 6 != 0").select("qid", F.concat(F.lit("shape_"), k % 3).alias("shape"), F.lit("rules").alias("source"))
+    return scoring.scores(scoring.judged(w.select("qid", "answer_type", "tier", F.col("want").cast("string").alias("answer")), given, log))

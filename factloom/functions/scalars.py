@@ -43,7 +43,8 @@ MONTH = r"[A-Za-z]{3,9}"
 
 def group(text: Column, pattern: str, n: int = 1) -> Column:
     """Group of the first match; null, not '', where there is none."""
-    return F.nullif(F.trim(F.regexp_extract(text, pattern, n)), F.lit(""))
+    found = F.array(F.trim(F.regexp_extract(text, pattern, n)))
+    return F.get(F.filter(found, lambda x: x != ""), F.lit(0))  # nullif would search twice
 
 
 def first(text: Column, patterns: list[str], n: int = 1) -> Column:

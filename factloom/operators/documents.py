@@ -14,26 +14,31 @@ DOMINATES = {"secret_dump": "numeric_record", "license_notice": "contact_record"
 HEAD = 1200
 
 
-def classify(docs: DataFrame, cues: list[tuple[str, int, str]] = CUES, dominates: dict[str, str] = DOMINATES) -> DataFrame:
-    """doc_id, doc_type, score, runner_up: highest score, ties by name; no score is 'unknown'. One pass, no shuffle.
+def classify(docs: DataFrame, cues: list[tuple[str, int, str]] = CUES, dominates: dict[str, str | list[str]] = DOMINATES, keep: bool = False) -> DataFrame:
+    """doc_id, doc_type, score, runner_up: highest score, ties by name; no score is 'unknown'. One pass, no shuffle; ``keep``: other columns stay.
 
     Text and head are made once a row, then each cue's hit, then sums: expressions stay small enough to be compiled whole.
     """
+    own = docs.columns if keep else ["doc_id"]
     body, head = F.lower(X.squeeze(F.col("text"))), F.lower(X.squeeze(F.substring("text", 1, HEAD)))
-    made = docs.select("doc_id", F.array(body, head).alias("_t"))
+    made = docs.select(*own, F.array(body, head).alias("_t"))
     hits = F.array(*[F.get("_t", F.lit(1 if weight > 2 else 0)).rlike(pattern) for _, weight, pattern in cues])
-    made = made.select("doc_id", hits.alias("_h"))
+    made = made.select(*own, hits.alias("_h"))
     kinds = list(dict.fromkeys(k for k, _, _ in cues))
     hit = lambda i: F.coalesce(F.get("_h", F.lit(i)), F.lit(False)).cast("int")
     total = {k: sum((hit(i) * w for i, (kind, w, _) in enumerate(cues) if kind == k), F.lit(0)) for k in kinds}
-    made = made.select("doc_id", F.array(*[total[k].cast("int") for k in kinds]).alias("_s"))
+    made = made.select(*own, F.array(*[total[k].cast("int") for k in kinds]).alias("_s"))
     at = {k: i for i, k in enumerate(kinds)}
-    loser = {v: k for k, v in dominates.items()}
-    final = {k: F.when(F.get("_s", F.lit(at[loser[k]])) > 0, 0).otherwise(F.get("_s", F.lit(at[k]))) if k in loser else F.get("_s", F.lit(at[k])) for k in kinds}
+    winners: dict[str, list[str]] = {}
+    for winner, losers in dominates.items():
+        for loser in [losers] if isinstance(losers, str) else losers:
+            winners.setdefault(loser, []).append(winner)
+    score = lambda k: F.get("_s", F.lit(at[k]))
+    final = {k: F.when(F.greatest(F.lit(0), *[score(w) for w in winners[k]]) > 0, 0).otherwise(score(k)) if k in winners else score(k) for k in kinds}
     votes = F.array_sort(F.filter(F.array(*[F.struct((-c).alias("s"), F.lit(k).alias("k")) for k, c in final.items()]), lambda v: v["s"] < 0))
-    made = made.select("doc_id", votes.alias("_v"))
+    made = made.select(*own, votes.alias("_v"))
     first, second = F.get("_v", F.lit(0)), F.get("_v", F.lit(1))
-    return made.select("doc_id", F.coalesce(first["k"], F.lit("unknown")).alias("doc_type"), F.coalesce(-first["s"], F.lit(0)).cast("int").alias("score"), second["k"].alias("runner_up"))
+    return made.select(*own, F.coalesce(first["k"], F.lit("unknown")).alias("doc_type"), F.coalesce(-first["s"], F.lit(0)).cast("int").alias("score"), second["k"].alias("runner_up"))
 
 
 def letterhead(text: Column) -> Column:

@@ -128,3 +128,63 @@ def ageing_books(works: DataFrame) -> DataFrame:
     rows = F.transform(F.concat(F.array(head), F.transform("rows", lambda r: r["row"])), lambda r: F.slice(r, 1, width))
     sheet = F.struct(F.lit("Ageing").alias("sheet"), rows.alias("rows"))
     return books.select(F.concat(F.lit("ar-"), F.col("client_key")).alias("doc_id"), F.array(sheet).alias("sheets"))
+
+
+# ------------------------------------------------------------------------------------------- a whole estate
+OURS = "Setu Infra Limited"
+_SHEETS = "array<struct<sheet:string, rows:array<array<string>>>>"
+#: Kinds that give no records: (type, text); the second ra bill says more than the first, as the report does of the statement.
+OTHERS = [
+    ("compliance_matrix", "Annexure 3\nCompliance Checklist\nItem Met"),
+    ("general_ledger_book", "Books of account\nDebit Credit"),
+    ("bank_statement", "Statement of Account\nA/C: 1100"),
+    ("financial_statement", "Balance Sheet as at March"),
+    ("ra_bill", "Running Account Bill no. 2"),
+    ("final_ra_bill", "Final RA Bill\na running account bill, with measurements"),
+    ("iso_certificate", "Certificate of Registration\nby an accredited certification body"),
+    ("annual_report", "Annual Report\nwith the balance sheet and the statement of profit and loss"),
+    ("unknown", "Minutes of a meeting\nNothing was decided."),
+]
+
+
+def estate(works: DataFrame, people: DataFrame) -> DataFrame:
+    """doc_id, truth, text, sheets, error: documents of all kinds in one table.
+
+    Two thirds of the contractor's certificates say no more than the clients' do: only the letterhead tells them apart. Every tenth client has a
+    bill of quantities beside its ageing book, every fiftieth a file that can't be read.
+    """
+    ours = F.lit(f"{OURS}  Projects Division")
+    pkg = F.regexp_extract("doc_id", r"(\d+)$", 1).try_cast("bigint")
+    own = F.when(pkg % 3 == 0, "RECORD OF WORK COMPLETED").otherwise("Completion Certificate")
+    letter = F.when(pkg % 2 == 0, "LETTER OF RECOMMENDATION").otherwise("To whomsoever it may concern")
+    texts = [
+        ("completion_certificate", completion_certificates(works), lambda t: t),
+        ("company_completion_certificate", company_certificates(works), lambda t: _lines(ours, t, own)),
+        ("past_performance_portfolio", portfolios(works), lambda t: _lines(ours, F.lit("Portfolio of Completed Works"), t)),
+        ("reference_letter", reference_letters(works), lambda t: _lines(t, letter)),
+        ("performance_bond", performance_bonds(works), lambda t: _lines(t, F.lit("PERFORMANCE BANK GUARANTEE"))),
+        ("tender_dossier", tender_dossiers(works), lambda t: _lines(ours, t, F.lit("Tender Submission Dossier"))),
+        ("personnel_certificate", personnel_certificates(people), lambda t: t),
+        ("cv", cvs(people), lambda t: _lines(t, F.lit("Curriculum Vitae"))),
+    ]
+    none = F.lit(None).cast("string")
+    parts = [d.select("doc_id", F.lit(kind).alias("truth"), make(F.col("text")).alias("text"), F.lit(None).cast(_SHEETS).alias("sheets"), none.alias("error")) for kind, d, make in texts]
+    others = people.select("manager_key", F.explode(F.array(*[F.struct(F.lit(k).alias("truth"), F.lit(t).alias("text")) for k, t in OTHERS])).alias("o"))
+    parts.append(others.select(F.concat_ws("-", F.lit("oth"), "manager_key", "o.truth").alias("doc_id"), "o.truth", "o.text", F.lit(None).cast(_SHEETS).alias("sheets"), none.alias("error")))
+    head = F.array(*(F.lit(x) for x in ("Client", "Invoice No", "Invoice date", "Invoiced", "Collected", "Outstanding")))
+    cover = F.struct(F.lit("Cover").alias("sheet"), F.array(F.array(F.lit("Prepared by accounts"))).alias("rows"))
+
+    def headed(sheet: Column) -> Column:
+        rows = sheet["rows"]
+        first = F.array(F.slice(head, 1, F.size(F.get(rows, F.lit(0)))))
+        return F.struct(sheet["sheet"].alias("sheet"), F.concat(first, F.slice(rows, 2, F.size(rows))).alias("rows"))
+
+    books = ageing_books(works).select("doc_id", F.lit("ageing_workbook").alias("truth"), none.alias("text"), F.concat(F.array(cover), F.transform("sheets", headed)).cast(_SHEETS).alias("sheets"), none.alias("error"))
+    clients = works.select("client_key").distinct()
+    bill = F.array(F.struct(F.lit("Works").alias("sheet"), F.array(F.array(F.lit("Item No"), F.lit("Rate")), F.array(F.lit("1"), F.lit("12"))).alias("rows")))
+    boq = clients.where("client_key % 10 = 0").select(F.concat(F.lit("boq-"), "client_key").alias("doc_id"), F.lit("boq_workbook").alias("truth"), none.alias("text"), bill.cast(_SHEETS).alias("sheets"), none.alias("error"))
+    bad = clients.where("client_key % 50 = 0").select(F.concat(F.lit("bad-"), "client_key").alias("doc_id"), F.lit("unreadable").alias("truth"), none.alias("text"), F.lit(None).cast(_SHEETS).alias("sheets"), F.lit("BadZipFile: File is not a zip file").alias("error"))
+    out = parts[0]
+    for part in [*parts[1:], books, boq, bad]:
+        out = out.unionByName(part)
+    return out

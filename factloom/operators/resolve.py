@@ -141,25 +141,30 @@ def resolve_works(questions: DataFrame, works: DataFrame) -> DataFrame:
     same = works.where("work_name is not null").select("pkg", *keys, F.array_sort(head).alias("head"), F.concat(F.lit(" "), name, F.lit(" ")).alias("name"))
     same = same.withColumn("states", F.concat_ws("|", *[F.when(F.contains("name", F.lit(f" {s} ")), s) for s in X.STATES])).where(F.size("head") > 0)
     same = cut(same.groupBy(*keys, "head", "states").agg(F.min("pkg").alias("pkg")), "names")
-    tokens = same.select("pkg", F.explode(F.array_distinct("head")).alias("token"))
+    tokens = same.select("pkg", F.explode("head").alias("token")).groupBy("pkg", "token").agg(F.count("*").alias("times"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("pkg").orderBy("df", "token"))
-    words = F.count("*").over(Window.partitionBy("pkg"))
-    # without its state a name needs more of its words: fewer of the rarest rule it out
-    need = 0.2 if by_manager else 0.3
-    prefix = tokens.join(df, "token").withColumn("place", place).withColumn("words", words).where(F.col("place") <= F.col("words") - F.ceil(F.col("words") * need) + 1)
+    of = Window.partitionBy("pkg")
+    rest = F.sum("times").over(of.orderBy(F.col("df").desc(), F.col("token").desc()))
+    placed = tokens.join(df, "token").withColumn("rest", rest).withColumn("words", F.sum("times").over(of))
+
+    def rarest(least: float) -> DataFrame:
+        """Of each name the words one of which a question must hold if it is to hold a share of ``least``: the words no rarer are that share at least."""
+        return placed.where(F.col("rest") >= F.col("words") * least - 1e-9).select("pkg", "token")
+
     q = questions.join(stated.select("qid"), "qid", "left_anti").where("nq != ''")
     q = q.select("qid", *keys, F.array_distinct(words_of(F.col("nq"))).alias("asked"), state_of(F.col("nq")).alias("state"))
-    if by_manager:
-        q = q.where("manager_key is not null")
-        found = q.select("qid", "manager_key", F.explode("asked").alias("token")).join(prefix.join(same.select("pkg", *keys), "pkg"), ["token", "manager_key"])
-    else:
-        found = q.select("qid", F.explode("asked").alias("token")).join(prefix, "token")
+    q = q.where("manager_key is not null") if by_manager else q
+    held = q.select("qid", *keys, "state", F.explode("asked").alias("token"))
+    # a name of the question's state needs few of its words, but that state too; any other name needs most of them
+    bound = 0.6 if by_manager else 0.8
+    there = rarest(bound - 0.5).join(same.select("pkg", *keys, F.explode(F.split("states", r"\|")).alias("state")).where("state != ''"), "pkg")
+    found = held.join(rarest(bound).join(same.select("pkg", *keys), "pkg"), ["token", *keys]).select("qid", "pkg")
+    found = found.unionByName(held.join(there, ["token", "state", *keys]).select("qid", "pkg"))
     both = found.select("qid", "pkg").distinct().join(q.drop(*keys), "qid").join(same.drop(*keys), "pkg")
     hit = F.size(F.filter("head", lambda w: F.array_contains("asked", w))) / F.size("head")
     there = F.array_contains(F.split("states", r"\|"), F.col("state"))
     scored = both.select("qid", "pkg", (hit + F.when(F.col("state").isNull(), 0.0).when(there, 0.5).otherwise(-0.4)).alias("score"))
-    scored = scored.where(F.col("score") >= (0.6 if by_manager else 0.8) - 1e-9)
+    scored = scored.where(F.col("score") >= bound - 1e-9)
     return stated.unionByName(_best(scored, "qid", F.col("score").desc(), "pkg").select("qid", "pkg", "score"))
 
 
