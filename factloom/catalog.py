@@ -336,6 +336,9 @@ QUESTIONS = [
 ]
 
 
+_read: list = []
+
+
 def _shapes() -> None:
     same = {"largest_client_share": "largest_client_share", "collection_pct": "collection_pct", "referenced_share": "referenced_share", "absence": "absence_of_reference", "business_units": "distinct_business_units_by_client", "distinct_clients": "distinct_clients_by_engineer", "work_count": "count_by_client", "category_pair_diff": "category_pair_gap", "gap_to_threshold": "gap_to_threshold", "receivables_balance": "receivables_balance", "year_delta": "year_gap", "awarded_vs_invoiced": "award_vs_invoiced", "top_n_clients": "top_n_sum_by_client", "rank_value": "rank_gap", "exclusion_aggregate": "works_excluding_category", "threshold_aggregate": "threshold_aggregate", "role_split": "works_by_role", "temporal_chain": "completed_after_anchor", "hop_aggregate": "sum_value_by_client", "date_span": "days_since_anchor"}
     gap = (
@@ -349,7 +352,10 @@ def _shapes() -> None:
     for shape, kind, question in QUESTIONS:
 
         def query(spark, sf_dir, shape=shape, kind=kind, question=question):
-            found, plan, _ = rules.classify(question, kind, ["urgent", "high", "medium", "not specified", "low"])
+            if not _read:  # all of them at once, on first use
+                labels = ["urgent", "high", "medium", "not specified", "low"]
+                _read.extend(rules.classify_all([(text, answer_type) for _, answer_type, text in QUESTIONS], labels))
+            found, plan, _ = _read[QUESTIONS.index((shape, kind, question))]
             assert found == shape, (found, shape)
             value = run(plan, *_facts(spark, sf_dir))
             decimals = shape in ("avg_work_size", "mean_minus_median")

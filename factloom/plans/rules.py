@@ -209,17 +209,28 @@ def by_rules(questions: DataFrame) -> DataFrame:
     return out.select(F.concat_ws("/", "qid", F.lit("rules")).alias("cid"), "qid", F.lit("rules").alias("source"), F.lit(0).alias("place"), "plan", "shape", "matched")
 
 
-def classify(question: str, answer_type: str, labels: list[str]) -> tuple[str, Plan, bool]:
-    """(shape, plan, matched) of one question, in the active session: a table of one row."""
+def classify_all(questions: list[tuple[str, str]], labels: list[str]) -> list[tuple[str | None, Plan | None, bool]]:
+    """(shape, plan, matched) of a few questions (text, answer type), in the active session."""
     from ..operators import resolve
 
     spark = SparkSession.active()
-    row = resolve.asked(spark.createDataFrame([("q", question, answer_type)], "qid string, question string, answer_type string"))
+    rows = [(str(i), text, kind) for i, (text, kind) in enumerate(questions)]
+    asked = resolve.asked(spark.createDataFrame(rows, "qid string, question string, answer_type string"))
     known = spark.createDataFrame([(x,) for x in labels], "category string")
-    found = row.drop("nq").join(resolve.named_categories(row, known), "qid", "left")
-    got = by_rules(found).first()
-    if got.plan is None:
-        raise ValueError(f"unknown answer type {answer_type}")
-    raw = json.loads(got.plan)
+    found = asked.drop("nq").join(resolve.named_categories(asked, known), "qid", "left")
+    got = {r.qid: r for r in by_rules(found).collect()}
     side = lambda m: m and Measure(**m)
-    return got.shape, Plan(side(raw["left"]), side(raw.get("right")), raw["combine"]), got.matched
+
+    def plan(text: str | None) -> Plan | None:
+        raw = json.loads(text) if text else None
+        return raw and Plan(side(raw["left"]), side(raw.get("right")), raw["combine"])
+
+    return [(r.shape, plan(r.plan), r.matched) for r in (got[qid] for qid, _, _ in rows)]
+
+
+def classify(question: str, answer_type: str, labels: list[str]) -> tuple[str, Plan, bool]:
+    """``classify_all`` of one question; ValueError for an unknown answer type."""
+    shape, plan, matched = classify_all([(question, answer_type)], labels)[0]
+    if plan is None:
+        raise ValueError(f"unknown answer type {answer_type}")
+    return shape, plan, matched
