@@ -274,7 +274,7 @@ def _masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.45, share: float = 0.6, answer_share: float = 0.5, sure: float = 0.8, most_bytes: int = 64 << 20) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 128, cosine: float = 0.45, share: float = 0.5, answer_share: float = 0.4, sure: float = 0.8, most_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share of the best passage, for each pair that passes the checks.
 
     A pair passes if its common subsequence and its weighted coverage reach ``share`` of the item, and the answer's
