@@ -13,25 +13,15 @@ NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5,
 
 
 STATE_INITIALS = [(r"\bU\.?\s?P\.?\b", "uttar pradesh"), (r"\bM\.?\s?P\.?\b", "madhya pradesh"), (r"\bW\.?\s?B\.?\b", "west bengal"), (r"\bT\.?\s?N\.?\b", "tamil nadu")]
-SHORT_FORMS = [
-    (r"\bpwd\b", "public works department"),
-    (r"\bphed?g?\b", "public health engineering department"),
-    (r"\bphe\b", "public health engineering department"),
-    (r"\bp\s*w\s*d\b", "public works department"),
-    (r"\bpw\b", "public works department"),
-    (r"\birr\b", "irrigation"),
-    (r"\binfra\b", "infrastructure"),
-    (r"\bcorp\b", "corporation"),
-    (r"\bltd\b", "limited"),
-    (r"\bauth\b", "authority"),
-    (r"\bmuni\b", "municipal"),
-    (r"\but\s+pr\b", "uttar pradesh"),
-    (r"\bmah\b", "maharashtra"),
-    (r"\bneda\b", "national expressway development authority"),
-    (r"\bguj\b", "gujarat"),
-    (r"\braj\b", "rajasthan"),
-    (r"\bjhk?d\b", "jharkhand"),
-]
+SPACED_FORMS = {"p ?w ?d": "pwd", "ut pr": "uttar pradesh"}
+SHORT_FORMS = {
+    "pwd": "public works department", "pw": "public works department",
+    "phe": "public health engineering department", "phed": "public health engineering department",
+    "pheg": "public health engineering department", "phedg": "public health engineering department",
+    "irr": "irrigation", "infra": "infrastructure", "corp": "corporation", "ltd": "limited", "auth": "authority", "muni": "municipal",
+    "neda": "national expressway development authority",
+    "mah": "maharashtra", "guj": "gujarat", "raj": "rajasthan", "jhd": "jharkhand", "jhkd": "jharkhand",
+}
 STATES = [
     "uttar pradesh", "madhya pradesh", "west bengal", "tamil nadu", "maharashtra", "gujarat", "rajasthan", "jharkhand", "odisha", "delhi",
     "andhra pradesh", "assam", "bihar", "chhattisgarh", "goa", "haryana", "himachal pradesh", "karnataka", "kerala", "manipur", "meghalaya",
@@ -106,9 +96,10 @@ def norm_question(text: Column) -> Column:
         out = F.regexp_replace(out, short, f" {full} ")
     out = F.regexp_replace(F.lower(out), "&", " and ")
     out = squeeze(F.regexp_replace(out, "[^a-z0-9]+", " "))
-    for short, full in SHORT_FORMS:
-        out = F.regexp_replace(out, short, full)
-    return squeeze(out)
+    for spaced, whole in SPACED_FORMS.items():
+        out = F.regexp_replace(out, rf"\b{spaced}\b", whole)
+    known = F.create_map(*[F.lit(x) for form in SHORT_FORMS.items() for x in form])
+    return F.array_join(F.transform(F.split(out, " "), lambda w: F.coalesce(F.element_at(known, w), w)), " ")
 
 
 def mask_once(text: Column, words: Column) -> Column:

@@ -44,6 +44,22 @@ def test_other_scalars(spark):
     assert one(spark, lambda x: F.rlike(F.lit("roads and  bridges"), X.category_pattern(F.lit("roads bridges"))), "")
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("P.W.D. and PW, p wd", "public works department and public works department public works department"),
+        ("PHED; phe Pheg", " ".join(["public health engineering department"] * 3)),
+        ("U.P. Irr. Corp Ltd", "uttar pradesh irrigation corporation limited"),
+        ("Ut Pr & Jhkd, Mah", "uttar pradesh and jharkhand maharashtra"),
+        ("pwdx corps rajah", "pwdx corps rajah"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_short_forms(spark, text, want):
+    assert one(spark, X.norm_question, text) == want
+
+
 @pytest.mark.parametrize("plan", [Plan(Measure(), combine="twice"), Plan(Measure(), combine="sum"), Plan(Measure("planets")), Plan(Measure("constant")), Plan(Measure(agg="mode")), Plan(Measure(agg="sum_invoiced")), Plan(Measure(scope="planet")), Plan(Measure(filters=[])), Plan(Measure(filters={"colour": 1}))])
 def test_invalid_plans(plan):
     with pytest.raises(PlanError):
