@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import _query
+from . import run
+from .catalog import _clients, _query
 from .catalog_documents import _CASES, _OWN, _TEMPLATES, _people, _works
-from .operators import kinds, lake, render, resolve
-from .plans import answers
+from .operators import facts, kinds, lake, render, resolve
+from .plans import answers, wire
 from .sources.scratch import cut, shared_dir
 
 _KINDS = ", ".join(f"('{k}')" for k, _ in render.OTHERS)
@@ -127,3 +128,88 @@ def receivable_clients(spark, sf_dir):
     rows = lambda s: F.transform(s["rows"], lambda r: F.concat(F.array(blank(r)), F.slice(r, 2, F.size(r))))
     odd = books.withColumn("sheets", F.transform("sheets", lambda s: F.struct(s["sheet"].alias("sheet"), rows(s).alias("rows"))))
     return records.receivables(odd).select("invoice", "client_name")
+
+
+def _fact_store(spark, sf_dir) -> tuple[str, str]:
+    estate, root = _ingested(spark, sf_dir), f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
+    lake.build(spark, estate, root)
+    return estate, root
+
+
+@_query(
+    _OWN
+    + ", there as (select * from own where pkg % 60 != 1), told as (select * from there where pkg % 70 != 0), n_people as (select count(*) as n from person join unit using (manager_key)), "
+    "figures as (select 'works' as figure, count(*)::double as n, null::bigint as of from there union all select 'total', cast(sum(value) as double), null from there "
+    "union all select 'clients', count(distinct client_key), null from there union all select 'managers', count(distinct manager), null from there "
+    "union all select 'categories', count(distinct category), null from there union all select 'credential', n, null from n_people union all select 'cv', n, null from n_people "
+    "union all select 'invoice', count(*), null from own union all select 'bond', count(*), null from own union all select 'dossier', count(*), null from own "
+    "union all select 'with a reference letter', count(*) filter (where has_ref), count(*) from there union all select 'with a known role', count(*), count(*) from there "
+    "union all select 'values that the company confirms', count(*) filter (where pkg % 50 != 0), count(*) from told "
+    "union all select 'certificates that gave a work', (select count(*) from there), count(*) from own) select figure, n, of, round(n / of, 6) as share from figures"
+)
+def estate_report(spark, sf_dir):
+    """What was parsed from the whole estate, and how far its documents agree."""
+    return lake.report(spark, *_fact_store(spark, sf_dir))
+
+
+_WORDS = ", ".join(f"select '{k}' as kind, trim({c}) as name from {t}" if i == 0 else f"select '{k}', trim({c}) from {t}" for i, (k, c, t) in enumerate([("category", "category", "work"), ("role", "role", "work"), ("grading", "grading", "work"), ("client", "client_name", "work"), ("engineer", "name", "person")])).replace(", select", " union all select")
+_VOCABULARY = _OWN + f", names as (select distinct kind, name from ({_WORDS}) where name != ''), ranked as (select kind, row_number() over (partition by kind order by name) as place, name, count(*) over (partition by kind) as total from names) "
+_YEARS = "select 'year' as kind, 1 as place, min(year(completed)) || '-' || max(year(completed)) as name, count(distinct year(completed)) as total from work"
+
+
+@_query(_VOCABULARY + f"select kind, cast(place as int) as place, name, total from ranked where place <= 90 union all {_YEARS}")
+def vocabulary(spark, sf_dir):
+    """The names that a model is told: of each kind the first 90 and how many there are."""
+    w = facts.works(spark, sf_dir)
+    return wire.vocabulary(w, facts.managers(spark, sf_dir), w.select("client_name"))
+
+
+@_query(
+    _VOCABULARY + ", shown as (select kind, max(total) as total, string_agg(name, '; ' order by place) as names, count(*) as n from ranked where place <= 90 group by kind) "
+    "select kind, kind || ' (' || total || '): ' || names || case when total > n then ' ... (+' || (total - n) || ' more)' else '' end as line from shown "
+    f"union all select kind, kind || ' (' || total || '): ' || name from ({_YEARS})"
+)
+def vocabulary_lines(spark, sf_dir):
+    return wire.vocabulary_lines(vocabulary(spark, sf_dir))
+
+
+_LAST = (
+    "a as (select client_key, client_key % {n} as t, case client_key % {n} {cases} end as answer from work group by client_key), "
+    "sums as (select count(*) as c, cast(sum(value) as double) as v from work group by client_key), "
+    "last as (select median(v) as money, median(c) as n_works, (select median(r / i) from (select cast(sum(received) as double) * 100 as r, cast(sum(invoiced) as double) as i from invoice group by client_key) where i != 0) as percent from sums) "
+).format(n=len(_TEMPLATES), cases=_CASES)
+
+
+@_query(
+    "with " + _LAST + "select cast(client_key as varchar) as qid, client_key, coalesce(answer, case when t = 4 then round(percent, 2) when t = 1 then round(n_works) else round(money) end) as answer, "
+    "case when answer is null then 'fallback' else 'rules' end as source from a, last"
+)
+def answered_every_client(spark, sf_dir):
+    """A question about each client, of seven shapes; those that nothing can answer get a figure of their type's usual size."""
+    w = facts.works(spark, sf_dir).withColumn("work_name", F.concat("category", F.lit(" works"))).join(facts.units(spark, sf_dir).drop("issued"), "manager_key", "left")
+    types, texts = (F.array(*(F.lit(t[i]) for t in _TEMPLATES)) for i in (0, 1))
+    at = F.pmod("client_key", F.lit(len(_TEMPLATES))).cast("int")
+    asked = w.groupBy("client_key").agg(F.min("client_name").alias("client_name"))
+    asked = asked.select(F.col("client_key").cast("string").alias("qid"), F.replace(F.get(texts, at), F.lit("{}"), F.col("client_name")).alias("question"), F.get(types, at).alias("answer_type"))
+    out = answers.answer(asked, w, facts.invoices(spark, sf_dir), facts.managers(spark, sf_dir), _clients(spark, sf_dir)[1], facts.credentials(spark, sf_dir))
+    return out.select("qid", F.col("qid").cast("bigint").alias("client_key"), F.col("answer").cast("double").alias("answer"), "source")
+
+
+@_query(
+    _OWN.replace("own as (", "all_own as (") + f", own as (select * from all_own where pkg % 60 != 1), a as (select client_key, client_key % {len(_TEMPLATES)} as t, case client_key % {len(_TEMPLATES)} {_CASES} end as answer from own group by client_key), "
+    "e as (select case when client_key % 3 = 0 then 'hard' else 'untiered' end as tier, case t when 1 then 'count' when 4 then 'percent' else 'money' end as answer_type, case when answer is null then 'fallback' else 'rules' end as source, "
+    "case when answer is null then 'false' else 'true' end as agreed from a) "
+    "select 'tier' as by, tier as value, count(*) as n from e group by tier union all select 'answer_type', answer_type, count(*) from e group by answer_type "
+    "union all select 'source', source, count(*) from e group by source union all select 'agreed', agreed, count(*) from e group by agreed"
+)
+def run_counts(spark, sf_dir):
+    """A run over the whole estate: questions by tier, answer type and source, and those whose plans agree."""
+    build = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    run.prepare(spark, _estate(spark, sf_dir).drop("truth"), build)
+    clients = lake.facts(spark, f"{build}/facts")["works"].groupBy("client_name").agg(F.count("*").alias("works"))
+    number = F.regexp_extract("client_name", r"(\d+)$", 1).cast("bigint")
+    types, texts = (F.array(*(F.lit(t[i]) for t in _TEMPLATES)) for i in (0, 1))
+    at = F.pmod(number, F.lit(len(_TEMPLATES))).cast("int")
+    text = F.replace(F.get(texts, at), F.lit("{}"), F.col("client_name"))
+    asked = clients.select(number.alias("place"), number.cast("string").alias("qid"), text.alias("question"), F.get(types, at).alias("answer_type"), F.when(number % 3 == 0, "hard").alias("tier"))
+    return run.counts(run.answered(spark, build, asked))

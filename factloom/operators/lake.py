@@ -103,6 +103,32 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{current(spark, root)}/{name}")
 
 
+def is_built(spark: SparkSession, root: str) -> bool:
+    files, where = _file(spark, f"{root}/current.txt")
+    return bool(files.exists(where))
+
+
+def report(spark: SparkSession, estate: str, root: str) -> DataFrame:
+    """figure, n, of, share: what was parsed and how far independent readings of it agree; ``of`` and ``share`` where a figure is a part of another."""
+    company = records.company_certificates(of_type(spark, estate, "company_completion_certificate"))
+    row = store.report(read(spark, root, "work"), company)
+    listed = of_type(spark, estate, "completion_certificate").agg(F.count("*").alias("certificates"))
+    for name in FACTS[1:]:
+        listed = listed.crossJoin(read(spark, root, name).agg(F.count("*").alias(name)))  # a row each
+    whole = ["works", "total", "clients", "managers", "categories", *FACTS[1:]]
+    parts = [
+        ("with a reference letter", "referenced", "works"),
+        ("with a known role", "roles", "works"),
+        ("values that the company confirms", "agreed", "checked"),
+        ("certificates that gave a work", "works", "certificates"),
+    ]
+    none = F.lit(None).cast("long")
+    figures = [F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("n"), none.alias("of")) for c in whole]
+    figures += [F.struct(F.lit(name).alias("figure"), F.col(n).cast("double").alias("n"), F.col(of).cast("long").alias("of")) for name, n, of in parts]
+    out = row.crossJoin(listed).select(F.explode(F.array(*figures)).alias("f")).select("f.*")
+    return out.withColumn("share", F.round(F.try_divide("n", F.col("of").cast("double")), 6))
+
+
 def facts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """works, invoices, managers, credentials, clients of the store, with the columns that questions are answered from.
 
@@ -119,7 +145,8 @@ def facts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     billed = read(spark, root, "invoice").withColumn("client_key", number(F.col("client_key")))
     invoices = billed.select("client_key", "date", "invoiced", "received", "outstanding", "status")
     names = work.where("manager_key != ''").groupBy("manager_key").agg(F.count("*").alias("works"), F.sum("value").alias("value"))
-    managers = names.select(number(F.col("manager_key")).alias("manager_key"), F.col("manager_key").alias("name_key"), "works", "value")
+    spelt = work.where("manager_key != ''").groupBy("manager_key").agg(F.min_by("manager", "pkg").alias("name"))
+    managers = names.join(spelt, "manager_key").select(number(F.col("manager_key")).alias("manager_key"), "name", F.col("manager_key").alias("name_key"), "works", "value")
     held = read(spark, root, "credential")
     credentials = held.select("credential_id", "credential", number(F.col("holder_key")).alias("manager_key"), "issued")
     clients = works.select("client_key", "client_name", "pkg").groupBy("client_key").agg(F.min_by("client_name", "pkg").alias("client_name"))

@@ -214,7 +214,7 @@ def fallbacks(works: DataFrame, invoices: DataFrame) -> DataFrame:
 
 
 def answer(questions: DataFrame, works: DataFrame, invoices: DataFrame, managers: DataFrame, table: DataFrame, credentials: DataFrame, model: DataFrame | None = None, trust: str = "consensus") -> DataFrame:
-    """qid, answer, source, shape, client_key, error of every question (qid, question, answer_type).
+    """qid, answer, source, shape, client_key, error, values of every question (qid, question, answer_type); ``values``: the distinct answers of its plans.
 
     ``works`` has ``anchor``-free facts with business_unit and work_name; ``model``: qid, place, plan (JSON) of a model's plans, if there are any. The
     rules are sure of a question if a cue matched, the plan ran, and the client isn't just the engineer's principal account.
@@ -234,7 +234,8 @@ def answer(questions: DataFrame, works: DataFrame, invoices: DataFrame, managers
     confident = F.col("matched") & (F.coalesce("client_from", F.lit("")) != "the engineer's principal account")
     votes = ran.join(kinds, "qid").join(sure, "qid", "left").select("qid", "source", "place", X.coerce(F.col("value"), F.col("answer_type")).alias("answer"), F.coalesce(confident, F.lit(False)).alias("confident"))
     picked = reconcile.reconcile(votes, trust)
-    errors = ran.where("source = 'rules'").select("qid", "error")
+    values = votes.groupBy("qid").agg(F.array_sort(F.collect_set("answer")).alias("values"))
+    errors = ran.where("source = 'rules'").select("qid", "error").join(values, "qid", "left")
     last = fallbacks(works, invoices).select("answer_type", X.coerce(F.col("value"), F.col("answer_type")).alias("last"))
     out = picked.join(kinds, "qid").join(F.broadcast(last), "answer_type", "left").join(sure, "qid", "left").join(errors, "qid", "left")
-    return out.select("qid", F.coalesce("answer", "last").alias("answer"), "source", "shape", "client_key", "error")
+    return out.select("qid", F.coalesce("answer", "last").alias("answer"), "source", "shape", "client_key", "error", "values")

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 SUFFIXES = ("pdf", "xlsx", "xlsm")
 
 
-def find_documents(spark: SparkSession, root: str) -> DataFrame:
+def find_documents(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """path, doc_id, kind, content of every document under ``root``; lock files and dot files are left out. Ids end in the suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     name, suffix = F.element_at(F.split("path", "/"), -1), F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     rel = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", "/"), F.lit("^" + root.replace("file:", "").rstrip("/") + "/"), F.lit(""))
     key = F.btrim(F.regexp_replace(rel, r"[^A-Za-z0-9._-]+", "_"), F.lit("_"))
-    return files.where(suffix.isin(*SUFFIXES) & ~name.startswith("~$") & ~name.startswith(".")).select("path", key.alias("doc_id"), suffix.alias("kind"), F.col("length").alias("bytes"), "content")
+    wanted = suffix.isin(*suffixes) & ~name.startswith("~$") & ~name.startswith(".")
+    return files.where(wanted).select("path", key.alias("doc_id"), suffix.alias("kind"), F.col("length").alias("bytes"), "content")
 
 
 def _sheets(content: bytes) -> list[dict]:
@@ -78,6 +79,24 @@ def read_workbooks(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "content").mapInPandas(run, "doc_id string, sheets array<struct<sheet:string, rows:array<array<string>>, formulas:map<string,string>>>, error string")
 
 
+def read_estate(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, text, sheets, error of every document under ``root``.
+
+    The text of ``a.pdf`` is the file ``a.pdf.txt`` beside it, in UTF-8; a PDF without one, and a workbook that can't be read, is a row with
+    its error. A text without a PDF is a document too.
+    """
+    files = find_documents(spark, root, (*SUFFIXES, "txt"))
+    sheets = "array<struct<sheet:string, rows:array<array<string>>>>"
+    none = F.lit(None).cast("string")
+    texts = files.where("kind = 'txt'").select(F.regexp_replace("doc_id", r"(?i)\.txt$", "").alias("doc_id"), F.col("content").cast("string").alias("text"))
+    texts = texts.select("doc_id", "text", F.lit(None).cast(sheets).alias("sheets"), none.alias("error"))
+    mute = files.where("kind = 'pdf'").select("doc_id").join(texts.select("doc_id"), "doc_id", "left_anti")
+    mute = mute.select("doc_id", none.alias("text"), F.lit(None).cast(sheets).alias("sheets"), F.lit("no text beside the PDF").alias("error"))
+    books = read_workbooks(files.where(F.col("kind").isin("xlsx", "xlsm")))
+    plain = F.transform("sheets", lambda s: F.struct(s["sheet"].alias("sheet"), s["rows"].alias("rows")))
+    return texts.unionByName(mute).unionByName(books.select("doc_id", none.alias("text"), plain.cast(sheets).alias("sheets"), "error"))
+
+
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """qid, question, answer_type, tier from a list or an object with ``questions``; rows without an id are dropped."""
     item = "qid string, question_id string, id string, question string, text string, answer_type string, tier string"
