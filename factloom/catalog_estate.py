@@ -213,3 +213,13 @@ def run_counts(spark, sf_dir):
     text = F.replace(F.get(texts, at), F.lit("{}"), F.col("client_name"))
     asked = clients.select(number.alias("place"), number.cast("string").alias("qid"), text.alias("question"), F.get(types, at).alias("answer_type"), F.when(number % 3 == 0, "hard").alias("tier"))
     return run.counts(run.answered(spark, build, asked))
+
+
+@_query("select pkg, state, case when pkg % 2 = 0 then state || '|gujarat' else state end as states from work")
+def states_in_questions(spark, sf_dir):
+    """The states that a question about each work names, most of them known from the corpus only."""
+    w = facts.works(spark, sf_dir)
+    text = F.concat(F.lit("What was built in "), "state", F.when(F.col("pkg") % 2 == 0, ", or in Gujarat?").otherwise("?"))
+    asked = resolve.asked(w.select("pkg", text.alias("question")))
+    out = resolve.with_states(asked, "pkg", "nq", resolve.corpus_states(w))
+    return out.select("pkg", "state", F.array_join("states", "|").alias("states"))

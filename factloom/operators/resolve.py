@@ -41,6 +41,31 @@ def state_of(text: Column) -> Column:
     return F.coalesce(*[F.when(F.contains(padded, F.lit(f" {s} ")), s) for s in sorted(X.STATES, key=lambda s: (-len(s), s))])
 
 
+def corpus_states(works: DataFrame) -> DataFrame:
+    """state: what ``works`` name as states, normalised, beside those of the list."""
+    state = X.norm_question(F.col("state"))
+    return works.select(state.alias("state")).where(F.col("state") != "").where(~F.col("state").isin(*X.STATES)).distinct()
+
+
+def with_states(rows: DataFrame, key: str, text: str, more: DataFrame | None = None) -> DataFrame:
+    """``rows`` with ``states``, all that a normalised text holds, the longest first, and ``state``, the first of them. ``more``: states beside those of
+    the list, found by joins on runs of words, so they may be any number. Rows that share a key share their states."""
+    padded = F.concat(F.lit(" "), F.col(text), F.lit(" "))
+    held = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {s} ")), F.lit(s)) for s in X.STATES]))
+    if more is not None:
+        runs = rows.where(F.col(text).isNotNull()).select(key, F.explode(_ngrams(words_of(F.col(text)), _lengths(more, F.split("state", " ")))).alias("run"))
+        found = runs.join(more, F.col("run.text") == more.state).groupBy(key).agg(F.collect_set("state").alias("_more"))
+        rows = rows.join(found, key, "left")
+        held = F.array_union(held, F.coalesce("_more", F.array().cast("array<string>")))
+    order = F.transform(held, lambda s: F.struct((-F.length(s)).alias("n"), s.alias("s")))
+    states = F.transform(F.array_sort(order), lambda x: x["s"])
+    return rows.withColumn("states", states).withColumn("state", F.get("states", F.lit(0))).drop("_more")
+
+
+def _state_words(more: DataFrame) -> DataFrame:
+    return more.select(F.explode(F.split("state", " ")).alias("token")).distinct()
+
+
 def _lengths(names: DataFrame, words: Column) -> list[int]:
     """The numbers of words that names have: one number for each length that occurs, however many names there are."""
     return sorted(r[0] for r in names.select(F.size(words)).distinct().collect() if r[0] and r[0] > 0)
@@ -58,19 +83,23 @@ def _best(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 # --------------------------------------------------------------------------------------------- clients
-def client_signatures(clients: DataFrame, work_names: DataFrame, least: float = 0.15) -> DataFrame:
+def client_signatures(clients: DataFrame, work_names: DataFrame, least: float = 0.15, states: DataFrame | None = None) -> DataFrame:
     """client_key, sig (word, weight, whether it alone names the client), whole, state, and ``prefix``: the words one of which a
     question must hold for a share of ``least``.
 
-    A weight is 1 / (clients with the word), 0.35 of that for words of works' names. Words of states don't count.
+    A weight is 1 / (clients with the word), 0.35 of that for words of works' names. Words of states don't count;
+    ``states``: those of the corpus beside the list.
     """
-    own = clients.select("client_key", X.norm_question(F.col("client_name")).alias("name")).withColumn("state", state_of(F.col("name")))
+    own = clients.select("client_key", X.norm_question(F.col("client_name")).alias("name"))
+    own = own.withColumn("state", state_of(F.col("name"))) if states is None else with_states(own, "client_key", "name", states).drop("states")
     # every name word counts for the frequency, once a client; stop words and states' words are then left out
     pairs = own.select("client_key", F.explode(F.array_distinct(words_of(F.col("name")))).alias("token"))
     df = pairs.groupBy("token").agg(F.count("*").alias("df"))
     names = work_names.select(F.explode(F.array_distinct(words_of(X.norm_question(F.col("work_name"))))).alias("token")).distinct()
     vocabulary = names.where("token != 'pkg' and not token rlike '^[0-9]+$'").withColumn("common", F.lit(True))
-    core = pairs.where(~F.col("token").isin(*STOPWORDS, *STATE_WORDS)).join(df, "token").join(vocabulary, "token", "left")
+    core = pairs.where(~F.col("token").isin(*STOPWORDS, *STATE_WORDS))
+    core = core if states is None else core.join(_state_words(states), "token", "left_anti")
+    core = core.join(df, "token").join(vocabulary, "token", "left")
     weight = 1 / F.col("df") * F.when(F.col("common"), 0.35).otherwise(1.0)
     unique = (F.col("df") == 1) & F.col("common").isNull()
     entry = F.struct((-weight).alias("order"), "token", weight.alias("weight"), unique.alias("unique"))
@@ -126,11 +155,12 @@ def stated_work(questions: DataFrame, works: DataFrame) -> DataFrame:
     return questions.select("qid", pkg.alias("pkg")).join(works.select("pkg").distinct(), "pkg").select("qid", "pkg")
 
 
-def resolve_works(questions: DataFrame, works: DataFrame) -> DataFrame:
+def resolve_works(questions: DataFrame, works: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """qid, pkg, score: the work a question (qid, nq and, if it names one, manager_key) means.
 
     A stated number decides. Otherwise the share of the name's words that the question holds, plus 0.5 for the question's state in the
     name or less 0.4 for another, must reach 0.8, or 0.6 among the named manager's works. Ties go to the lowest number.
+    ``states``: those of the corpus beside the list.
     """
     by_manager = "manager_key" in questions.columns
     stated = stated_work(questions, works).withColumn("score", F.lit(9.0))
@@ -139,7 +169,13 @@ def resolve_works(questions: DataFrame, works: DataFrame) -> DataFrame:
     keys = ["manager_key"] if by_manager else []
     # equal names have equal scores: one join for all of them
     same = works.where("work_name is not null").select("pkg", *keys, F.array_sort(head).alias("head"), F.concat(F.lit(" "), name, F.lit(" ")).alias("name"))
-    same = same.withColumn("states", F.concat_ws("|", *[F.when(F.contains("name", F.lit(f" {s} ")), s) for s in X.STATES])).where(F.size("head") > 0)
+    if states is None:
+        same = same.withColumn("states", F.concat_ws("|", *[F.when(F.contains("name", F.lit(f" {s} ")), s) for s in X.STATES]))
+    else:
+        same = with_states(same, "pkg", "name", states).drop("state").withColumn("states", F.array_join("states", "|"))
+        left = same.select("pkg", F.explode("head").alias("token")).join(_state_words(states), "token", "left_anti")
+        same = same.drop("head").join(left.groupBy("pkg").agg(F.array_sort(F.collect_list("token")).alias("head")), "pkg")
+    same = same.where(F.size("head") > 0)
     same = cut(same.groupBy(*keys, "head", "states").agg(F.min("pkg").alias("pkg")), "names")
     tokens = same.select("pkg", F.explode("head").alias("token")).groupBy("pkg", "token").agg(F.count("*").alias("times"))
     df = tokens.groupBy("token").agg(F.count("*").alias("df"))
@@ -152,7 +188,8 @@ def resolve_works(questions: DataFrame, works: DataFrame) -> DataFrame:
         return placed.where(F.col("rest") >= F.col("words") * least - 1e-9).select("pkg", "token")
 
     q = questions.join(stated.select("qid"), "qid", "left_anti").where("nq != ''")
-    q = q.select("qid", *keys, F.array_distinct(words_of(F.col("nq"))).alias("asked"), state_of(F.col("nq")).alias("state"))
+    q = q.withColumn("state", state_of(F.col("nq"))) if states is None else with_states(q, "qid", "nq", states).drop("states")
+    q = q.select("qid", *keys, F.array_distinct(words_of(F.col("nq"))).alias("asked"), "state")
     q = q.where("manager_key is not null") if by_manager else q
     held = q.select("qid", *keys, "state", F.explode("asked").alias("token"))
     # a name of the question's state needs few of its words, but that state too; any other name needs most of them
@@ -285,11 +322,11 @@ def resolve_credentials(questions: DataFrame, credentials: DataFrame) -> DataFra
 
 
 # --------------------------------------------------------------------------------------------- all of a question's anchors
-def anchors(questions: DataFrame, works: DataFrame, managers: DataFrame, table: DataFrame, credentials: DataFrame) -> DataFrame:
+def anchors(questions: DataFrame, works: DataFrame, managers: DataFrame, table: DataFrame, credentials: DataFrame, states: DataFrame | None = None) -> DataFrame:
     """qid, client_key, client_from, manager_key, pkg, anchor_date, date_from of every question (qid, question).
 
     Columns ``client_mention``, ``engineer_mention`` and ``work_mention`` are hints where to look first: what they name in the corpus
-    counts, and where they name nothing the whole question does. Each step is a table of keys by question in the shared folder.
+    counts, and where they name nothing the whole question does. ``states``: those of the corpus beside the list. Each step is a table of keys by question in the shared folder.
     """
     q = cut(asked(questions), "questions")
     table = cut(table, "signatures")
@@ -303,12 +340,12 @@ def anchors(questions: DataFrame, works: DataFrame, managers: DataFrame, table:
 
     explicit = F.coalesce(F.rlike("nq", F.lit(r"\b(?:pkg|package)\s*\d+")), F.lit(False))
     names = works.select("pkg", F.col("manager_key").alias("hint"), F.col("client_key").alias("of_work"), "work_name")
-    work = first_of(lambda d: resolve_works(d, works), "work_mention", "pkg")
+    work = first_of(lambda d: resolve_works(d, works, states), "work_mention", "pkg")
     hinted = cut(q.join(work.join(names, "pkg"), "qid", "left").withColumn("explicit", explicit), "hints")
     manager = first_of(lambda d: resolve_managers(d.join(hinted.select("qid", "hint"), "qid", "left"), managers), "engineer_mention", "manager_key")
     # an oblique work is one that the named manager led, if there is one
     led = hinted.join(manager, "qid").where("pkg is null or (manager_key != hint and not explicit)").select("qid", "nq", "manager_key")
-    led = cut(resolve_works(led, works.where("manager_key is not null")).select("qid", F.col("pkg").alias("led")), "led")
+    led = cut(resolve_works(led, works.where("manager_key is not null"), states).select("qid", F.col("pkg").alias("led")), "led")
     found = q.select("qid", "question", "nq").join(work, "qid", "left").join(manager, "qid", "left").join(led, "qid", "left")
     found = cut(found.withColumn("pkg", F.coalesce("led", "pkg")).drop("led").join(names.drop("hint"), "pkg", "left").withColumn("explicit", explicit), "found")
     # with a stated number the words of the work's name describe the work, not the client

@@ -113,10 +113,13 @@ def test_snapping_equals_search(spark):
     assert got == {w: plain(w) for w in words if plain(w)}
 
 
-@pytest.mark.parametrize("by_manager", [False, True])
-def test_works_equal_scores_of_all_pairs(spark, by_manager):
+@pytest.mark.parametrize("by_manager,corpus", [(False, False), (True, False), (False, True), (True, True)])
+def test_works_equal_scores_of_all_pairs(spark, by_manager, corpus):
     random.seed(13)
-    vocabulary, states = ["steel", "truss", "bridge", "depot", "plant", "canal"], ["", "gujarat", "west bengal"]
+    # states of the list, or those that only the corpus names beside one of the list
+    states = ["", "nova land", "west bengal"] if corpus else ["", "gujarat", "west bengal"]
+    more = spark.createDataFrame([("nova land",), ("far isle coast",)], "state string") if corpus else None
+    vocabulary = ["steel", "truss", "bridge", "depot", "plant", "canal"]
     names = [" ".join(random.choice(vocabulary) for _ in range(random.randint(1, 5))) + " " + random.choice(states) for _ in range(60)]
     works = spark.createDataFrame([(k, k % 2, n) for k, n in enumerate(names)], "pkg long, manager_key long, work_name string")
     texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(0, 4))) + " " + random.choice(states) for _ in range(60)]
@@ -128,11 +131,27 @@ def test_works_equal_scores_of_all_pairs(spark, by_manager):
         state = next((s for s in states[1:] if s in t), None)
         best = (0, None)
         for k, n in enumerate(names):
-            head = [w for w in n.split() if w not in ("gujarat", "west", "bengal")]
+            head = [w for w in n.split() if w not in ("gujarat", "west", "bengal", "nova", "land")]
             hit = sum(w in asked for w in head) / len(head)
             score = round(hit + (0 if state is None else 0.5 if state in n else -0.4), 9)
             if hit and score >= bound and score > best[0] and (not by_manager or k % 2 == i % 2):
                 best = (score, k)
         if best[1] is not None:
             want[str(i)] = best[1]
-    assert {r.qid: r.pkg for r in resolve.resolve_works(q, works).collect()} == want
+    assert {r.qid: r.pkg for r in resolve.resolve_works(q, works, more).collect()} == want
+
+
+def test_states_of_the_corpus(spark):
+    works = spark.createDataFrame([("Nova-Land",), (" nova land",), ("Gujarat",), ("",), (None,), ("Far Isle",)], "state string")
+    more = resolve.corpus_states(works)
+    assert {r.state for r in more.collect()} == {"nova land", "far isle"}
+    rows = spark.createDataFrame([(1, "roads of nova land and gujarat"), (2, "far isles"), (3, ""), (4, None), (5, "nova  land")], "k long, t string")
+    got = {r.k: (r.state, r.states) for r in resolve.with_states(rows, "k", "t", more).collect()}
+    assert got[1] == ("nova land", ["nova land", "gujarat"]) and got[2] == (None, []) and got[3] == (None, []) and got[5][0] == "nova land"
+    assert resolve.with_states(rows, "k", "t", more.where("false")).where("state is not null").count() == 1
+    # a client's state is told apart from its name, and its words name no one
+    clients = spark.createDataFrame([(1, "Roads Board Nova Land"), (2, "Roads Board Far Isle")], "client_key long, client_name string")
+    table = resolve.client_signatures(clients, spark.createDataFrame([], "work_name string"), states=more)
+    assert {r.client_key: (r.state, [x.token for x in r.sig]) for r in table.collect()} == {1: ("nova land", ["board", "roads"]), 2: ("far isle", ["board", "roads"])}
+    asked = spark.createDataFrame([("a", "What did the Roads Board of Far Isle pay?"), ("b", "And the Roads Board, Nova Land?"), ("c", "In Nova Land?")], "qid string, question string")
+    assert {r.qid: r.client_key for r in resolve.resolve_clients(asked, table).collect()} == {"a": 2, "b": 1}
