@@ -90,3 +90,14 @@ def test_answers_without_broadcasts(spark, monkeypatch):
     want = con.execute(catalog.oracle_sql()["answered_questions"]).fetchall()
     got = [(r.qid, r.client_key, r.answer) for r in catalog.queries()["answered_questions"](spark, SF).select("qid", "client_key", "answer").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_labels_are_found_without_filters_below(spark):
+    """Neither the normalised text nor the choice among labels is computed once more in a filter, which would move below the shuffle that deals the questions."""
+    from factloom.operators import resolve
+
+    q = spark.createDataFrame([("a", "What did roads and highways bring, and maintenance?"), ("b", None)], "qid string, question string")
+    labels = spark.createDataFrame([("roads highways",), ("roads maintenance",), ("roads",)], "category string")
+    found = resolve.named_categories(resolve.asked(q), labels)
+    assert not [line for line in _plan(found).split("\n") if re.search(r"\bFilter\b.*(regexp_replace|aggregate\()", line)]
+    assert [(r.qid, r.categories, r.category) for r in found.collect()] == [("a", ["roads highways", "roads maintenance"], "roads highways")]
