@@ -101,3 +101,19 @@ def test_labels_are_found_without_filters_below(spark):
     found = resolve.named_categories(resolve.asked(q), labels)
     assert not [line for line in _plan(found).split("\n") if re.search(r"\bFilter\b.*(regexp_replace|aggregate\()", line)]
     assert [(r.qid, r.categories, r.category) for r in found.collect()] == [("a", ["roads highways", "roads maintenance"], "roads highways")]
+
+
+def test_equal_questions_are_scored_once(spark, monkeypatch):
+    """Works are looked for once for each set of words, state and manager; every question, null states among them, gets its work."""
+    from factloom.operators import resolve
+
+    seen = []
+    monkeypatch.setattr(resolve, "_best", lambda df, *a, best=resolve._best: seen.append(df.select("qid").distinct().count()) or best(df, *a))
+    works = spark.createDataFrame([(1, 7, "road works depot Goa"), (2, 8, "harbour bridge"), (3, 7, "harbour bridge")], "pkg long, manager_key long, work_name string")
+    rows = [(i, ("What was the harbour bridge worth?", "The bridge: what was harbour worth?", "Value of road works depot in Goa?", "nothing")[i % 4]) for i in range(40)]
+    q = resolve.asked(spark.createDataFrame(rows, "qid long, question string"))
+    got = {r.qid: r.pkg for r in resolve.resolve_works(q, works).collect()}
+    assert got == {i: (2, 2, 1)[i % 4] for i in range(40) if i % 4 < 3}
+    assert seen == [2]  # the first two wordings hold the same words
+    led = q.where("qid < 8").withColumn("manager_key", F.when(F.col("qid") < 4, 7).cast("long"))
+    assert {r.qid: r.pkg for r in resolve.resolve_works(led, works).collect()} == {0: 3, 1: 3, 2: 1}
