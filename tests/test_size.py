@@ -117,3 +117,23 @@ def test_equal_questions_are_scored_once(spark, monkeypatch):
     assert seen == [2]  # the first two wordings hold the same words
     led = q.where("qid < 8").withColumn("manager_key", F.when(F.col("qid") < 4, 7).cast("long"))
     assert {r.qid: r.pkg for r in resolve.resolve_works(led, works).collect()} == {0: 3, 1: 3, 2: 1}
+
+
+def test_an_estate_is_read_once(spark, tmp_path, monkeypatch):
+    """Texts are normalised and typed before letterheads are counted, and the report joins records, not texts."""
+    from factloom.operators import lake
+
+    seen = []
+
+    def joined(work, company):
+        seen.append(_plan(company))
+        raise StopIteration
+
+    monkeypatch.setattr(kinds, "by_issuer", lambda t, by_issuer=kinds.by_issuer: seen.append(_plan(t)) or by_issuer(t))
+    monkeypatch.setattr(lake.store, "report", joined)
+    monkeypatch.setattr(lake, "read", lambda *a: spark.range(1))
+    docs = spark.createDataFrame([("a", "Record of work completed\nWork roads works Pkg-7\nClient Acme (private)\nExecuted Value INR 5", None, None)], f"doc_id string, text string, sheets {render._SHEETS}, error string")
+    lake.ingest(docs, str(tmp_path))
+    with pytest.raises(StopIteration):
+        lake.report(spark, str(tmp_path), "none")
+    assert len(seen) == 2 and not [p for p in seen if "nfkc" in p or "regexp" in p or "contains" in p]
