@@ -148,50 +148,120 @@ def _rows(of: DataFrame, facts: DataFrame, source: str, keys: dict[str, str]) ->
     return out.where(_passes(source))
 
 
+#: Aggregates of the whole corpus that come from cells of rows: of all rows that no filter tells apart.
+OF_CELLS = ["count", "sum_value", "mean_value", "max_value", "min_value", *RANKED]
+#: Bounds of a column that are looked up for each row; where there are more, each value is apart.
+BOUNDS = 1_000
+
+
+def _band(of: DataFrame, facts: DataFrame, column: str, bounds: Column) -> DataFrame:
+    """``facts`` with ``_column``, equal for values that lie alike to all ``bounds`` of the measures: below, at or above each."""
+    each = of.select(F.explode(bounds).alias("b")).where("b is not null").distinct()
+    if each.limit(BOUNDS + 1).count() > BOUNDS:
+        return facts.withColumn(f"_{column}", F.col(column))
+    at = F.size(F.filter("_bounds", lambda b: b < F.col(column))) + F.size(F.filter("_bounds", lambda b: b <= F.col(column)))
+    return facts.crossJoin(F.broadcast(each.agg(F.collect_list("b").alias("_bounds")))).withColumn(f"_{column}", F.when(F.col(column).isNotNull(), at)).drop("_bounds")
+
+
+def _met(of: DataFrame, works: DataFrame, ranked: bool) -> tuple[DataFrame, DataFrame]:
+    """mid, agg, cell, c, s, hi, lo, k (rows with a value) of the cells that each measure of the whole corpus meets; cell, cents, n of all values.
+
+    Works are counted once by what the measures' filters tell apart, not once for each measure that takes them. A cell's rows pass the same
+    filters, so any of them stands for all; columns that no filter looks at are null.
+    """
+    f = lambda name: F.col(f"m.filters.{name}")
+    known = ["categories_in", "categories_not_in", "role", "grading", "state", "has_reference_letter", "years_in", "completed_after", "completed_before", "min_value", "max_value"]
+    used = of.agg(*[F.coalesce(F.bool_or(f(n).isNotNull()), F.lit(False)).alias(n) for n in known]).first()
+    by = [c for c, names in {"category": known[:2], "role": ["role"], "grading": ["grading"], "state": ["state"], "has_ref": ["has_reference_letter"]}.items() if any(used[n] for n in names)]
+    own, rows = list(by), works.select("category", "role", "grading", "state", "has_ref", "completed", "value")
+    if used.years_in:
+        rows, own = rows.withColumn("_year", F.year("completed")), [*own, "_year"]
+    if used.completed_after or used.completed_before:
+        bound = lambda name: F.when(f(name) == ANCHOR, F.col("anchor_date")).otherwise(f(name).try_cast("date"))
+        rows, own = _band(of, rows, "completed", F.array(bound("completed_after"), bound("completed_before"))), [*own, "_completed"]
+    if used.min_value or used.max_value:
+        rows, own = _band(of, rows, "value", F.array(*[f(n).try_cast("decimal(18,2)") for n in ("min_value", "max_value")])), [*own, "_value"]
+    cell = F.to_json(F.struct(F.lit(0).alias("_"), *own)).alias("cell")
+    dated = [F.min("completed").alias("completed")] if "_year" in own or "_completed" in own else []
+    unseen = [F.lit(None).cast(works.schema[c].dataType).alias(c) for c in ("category", "role", "grading", "state", "has_ref", *(() if dated else ("completed",))) if c not in by]
+    cents = [(-(F.col("value") * 100).cast("long")).alias("cents")] if ranked else []
+    money = [F.count("*").alias("c"), F.sum("value").alias("s"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.count("value").alias("k")]
+    counts = cut(rows.groupBy(*own, *cents).agg(*dated, *money).withColumn("cell", cell), "values-of-cells")
+    again = [F.sum("c").alias("c"), F.sum("s").cast("decimal(28,2)").alias("s"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.sum("k").alias("k")]
+    cells = cut(counts.groupBy("cell", *own).agg(*dated, *again).select("*", *unseen, F.col("lo").alias("value")), "cells")
+    met = cut(_corpus_rows(of, cells, "works").where(_passes("works")).select("mid", F.col("m.agg").alias("agg"), "cell", "c", "s", "hi", "lo", "k"), "met")
+    return met, counts.where("cents is not null").select("cell", "cents", F.col("k").alias("n")) if ranked else None
+
+
 def evaluate(bound: DataFrame, works: DataFrame, invoices: DataFrame) -> DataFrame:
-    """mid, value of every distinct measure; counts of nothing are 0, other aggregates of nothing have no row."""
+    """mid, value of every distinct measure; counts of nothing are 0, other aggregates of nothing have no row.
+
+    Only sources, scopes and aggregates that occur are computed: a branch without measures would read the works all the same.
+    """
     distinct = cut(bound.where("m.source != 'constant' and key is not null and (not dated or anchor_date is not null)").select("mid", "m", "key", "anchor_date").dropDuplicates(["mid"]), "measures")
+    occur = [(r[0], r[1], r[2]) for r in distinct.select("m.source", "m.scope", "m.agg").distinct().collect()]  # names
     keys = {"client": "client_key", "engineer": "manager_key", "work": "pkg", "corpus": ""}
-    agg, exact = F.col("m.agg"), lambda c: c.cast("decimal(38,8)")
+    agg, exact, corpus = F.col("m.agg"), lambda c: c.cast("decimal(38,8)"), F.col("m.scope") == "corpus"
     w = distinct.where("m.source = 'works'")
-    simple = _rows(w.where(~agg.isin(*RANKED, *BY_CLIENT)), works, "works", keys)
-    kinds = {"distinct_categories": F.nullif("category", F.lit("")), "distinct_states": F.nullif("state", F.lit("")), "distinct_clients": F.coalesce("client_key", F.lit(-1)).cast("string"), "distinct_managers": F.coalesce("manager_key", F.lit(-1)).cast("string"), "distinct_business_units": F.col("business_unit")}
-    what = F.lit(None).cast("string")
-    for name, column in kinds.items():
-        what = F.when(agg == name, column.cast("string")).otherwise(what)
-    sums = simple.withColumn("what", what).groupBy("mid", F.col("m.agg").alias("agg")).agg(F.count("*").alias("c"), F.count_distinct("what").alias("k"), F.sum("value").alias("s"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.max(F.datediff("completed", "anchor_date")).alias("days"))
-    a = F.col("agg")
-    value = F.when(a == "count", exact(F.col("c"))).when(a == "distinct_business_units", exact(F.nullif("k", F.lit(0)))).when(a.startswith("distinct"), exact(F.col("k"))).when(a == "sum_value", exact(F.col("s")))
-    value = value.when(a == "mean_value", exact(F.col("s").cast("decimal(28,8)") / F.col("c"))).when(a == "max_value", exact(F.col("hi"))).when(a == "min_value", exact(F.col("lo"))).when((a == "days_since_anchor_date") & (F.col("c") == 1), exact(F.col("days")))
-    out = sums.select("mid", value.alias("value"))
-    # counts of nothing
-    out = out.unionByName(w.where(agg.startswith("count") | (agg.startswith("distinct") & (agg != "distinct_business_units"))).join(sums, "mid", "left_anti").select("mid", exact(F.lit(0)).alias("value")))
-    of = Window.partitionBy("mid")
-    apart = {k: v for k, v in keys.items() if k != "corpus"}
-    ranked = _rows(w.where(agg.isin(*RANKED) & (F.col("m.scope") != "corpus")), works, "works", apart).withColumn("_n", F.row_number().over(of.orderBy(F.col("value").desc(), "pkg"))).withColumn("_c", F.count("*").over(of))
-    nth = ranked.where((agg == "nth_largest_value") & (F.col("_n") == F.greatest(F.lit(1), F.col("m.n")))).select("mid", exact(F.col("value")).alias("value"))
-    middle = ranked.where((agg == "median_value") & F.expr("_n in (floor((_c + 1) / 2), floor((_c + 2) / 2))")).groupBy("mid").agg(exact(F.sum("value").cast("decimal(28,8)") / F.count("*")).alias("value"))
-    whole = _rows(w.where(agg.isin(*RANKED) & (F.col("m.scope") == "corpus")), works, "works", {"client": "client_key", "corpus": ""})
-    counts = cut(selection.counted(whole.select("mid", "value"), ["mid"]), "counts")
-    of_corpus = w.where(F.col("m.scope") == "corpus").select("mid", agg.alias("agg"), F.greatest(F.lit(1), F.col("m.n")).alias("rank"))
-    medians = selection.middle(counts, ["mid"]).join(of_corpus.where("agg = 'median_value'").select("mid"), "mid")
-    ranks = of_corpus.where("agg = 'nth_largest_value'").select("mid", F.col("rank").cast("long").alias("rank")).unionByName(medians)
-    chosen = selection.at_ranks(counts, ["mid"], ranks)
-    nth = nth.unionByName(chosen.groupBy("mid").agg(exact(F.sum("value").cast("decimal(28,8)") / F.count("*")).alias("value")))
-    clients = _rows(w.where(agg.isin(*BY_CLIENT)), works, "works", keys).groupBy("mid", "m", "client_key").agg(F.sum("value").alias("v"))
-    top = F.row_number().over(of.orderBy(F.col("v").desc(), "client_key"))
-    most = F.when(agg == "max_client_value", 1).otherwise(F.greatest(F.lit(1), F.col("m.n")))
-    clients = clients.withColumn("_n", top).where(F.col("_n") <= most).groupBy("mid").agg(exact(F.sum("v")).alias("value"))
-    i = distinct.where("m.source = 'invoices'")
-    billed = _rows(i, invoices, "invoices", {"client": "client_key", "corpus": ""}).groupBy("mid", F.col("m.agg").alias("agg")).agg(F.count("*").alias("c"), *(F.sum(c).alias(c) for c in ("invoiced", "received", "outstanding")))
-    value = F.when(a == "count_invoices", exact(F.col("c"))).when(a == "sum_invoiced", exact(F.col("invoiced"))).when(a == "sum_received", exact(F.col("received"))).otherwise(exact(F.col("outstanding")))
-    none = i.where(agg == "count_invoices").join(billed, "mid", "left_anti").select("mid", exact(F.lit(0)).alias("value"))
-    return out.unionByName(nth).unionByName(middle).unionByName(clients).unionByName(billed.select("mid", value.alias("value"))).unionByName(none)
+    parts = [distinct.where("false").select("mid", exact(F.lit(0)).alias("value"))]
+
+    def scopes(able) -> dict[str, str]:
+        return {k: v for k, v in keys.items() if any(source == "works" and scope == k and able(a, scope) for source, scope, a in occur)}
+
+    sums = []
+    by_rows = scopes(lambda a, scope: a not in (*RANKED, *BY_CLIENT) and not (scope == "corpus" and a in OF_CELLS))
+    if by_rows:
+        simple = _rows(w.where(~agg.isin(*RANKED, *BY_CLIENT) & ~(corpus & agg.isin(*OF_CELLS))), works, "works", by_rows)
+        kinds = {"distinct_categories": F.nullif("category", F.lit("")), "distinct_states": F.nullif("state", F.lit("")), "distinct_clients": F.coalesce("client_key", F.lit(-1)).cast("string"), "distinct_managers": F.coalesce("manager_key", F.lit(-1)).cast("string"), "distinct_business_units": F.col("business_unit")}
+        what = F.lit(None).cast("string")
+        for name, column in kinds.items():
+            what = F.when(agg == name, column.cast("string")).otherwise(what)
+        sums.append(simple.withColumn("what", what).groupBy("mid", F.col("m.agg").alias("agg")).agg(F.count("*").alias("c"), F.count_distinct("what").alias("k"), F.sum("value").alias("s"), F.max("value").alias("hi"), F.min("value").alias("lo"), F.max(F.datediff("completed", "anchor_date")).alias("days")))
+    if scopes(lambda a, scope: scope == "corpus" and a in OF_CELLS):
+        ranked = bool(scopes(lambda a, scope: scope == "corpus" and a in RANKED))
+        of = w.where(corpus & agg.isin(*OF_CELLS))
+        met, counts = _met(of, works, ranked)
+        sums.append(met.where(~F.col("agg").isin(*RANKED)).groupBy("mid", "agg").agg(F.sum("c").alias("c"), F.lit(None).cast("long").alias("k"), F.sum("s").cast("decimal(28,2)").alias("s"), F.max("hi").alias("hi"), F.min("lo").alias("lo"), F.lit(None).cast("int").alias("days")))
+        if ranked:
+            met = met.where(F.col("agg").isin(*RANKED))
+            medians = selection.middle(met.where("agg = 'median_value'").select("mid", F.col("k").alias("n")), ["mid"])
+            nth = of.where(agg == "nth_largest_value").select("mid", F.greatest(F.lit(1), F.col("m.n")).cast("long").alias("rank"))
+            chosen = selection.at_ranks(counts, ["mid"], cut(nth.unionByName(medians), "ranks"), met.select("mid", "cell"))
+            parts.append(chosen.groupBy("mid").agg(exact(F.sum("value").cast("decimal(28,8)") / F.count("*")).alias("value")))
+    if sums:
+        a = F.col("agg")
+        value = F.when(a == "count", exact(F.col("c"))).when(a == "distinct_business_units", exact(F.nullif("k", F.lit(0)))).when(a.startswith("distinct"), exact(F.col("k"))).when(a == "sum_value", exact(F.col("s")))
+        value = value.when(a == "mean_value", exact(F.col("s").cast("decimal(28,8)") / F.col("c"))).when(a == "max_value", exact(F.col("hi"))).when(a == "min_value", exact(F.col("lo"))).when((a == "days_since_anchor_date") & (F.col("c") == 1), exact(F.col("days")))
+        every = cut((sums[0] if len(sums) == 1 else sums[0].unionByName(sums[1])).select("mid", value.alias("value")), "sums")
+        parts.append(every)
+        # counts of nothing
+        parts.append(w.where(agg.startswith("count") | (agg.startswith("distinct") & (agg != "distinct_business_units"))).join(every, "mid", "left_anti").select("mid", exact(F.lit(0)).alias("value")))
+    of_mid = Window.partitionBy("mid")
+    if by := scopes(lambda a, scope: a in RANKED and scope != "corpus"):
+        ranked = _rows(w.where(agg.isin(*RANKED) & ~corpus), works, "works", by).withColumn("_n", F.row_number().over(of_mid.orderBy(F.col("value").desc(), "pkg"))).withColumn("_c", F.count("*").over(of_mid))
+        parts.append(ranked.where((agg == "nth_largest_value") & (F.col("_n") == F.greatest(F.lit(1), F.col("m.n")))).select("mid", exact(F.col("value")).alias("value")))
+        parts.append(ranked.where((agg == "median_value") & F.expr("_n in (floor((_c + 1) / 2), floor((_c + 2) / 2))")).groupBy("mid").agg(exact(F.sum("value").cast("decimal(28,8)") / F.count("*")).alias("value")))
+    if by := scopes(lambda a, scope: a in BY_CLIENT):
+        clients = _rows(w.where(agg.isin(*BY_CLIENT)), works, "works", by).groupBy("mid", "m", "client_key").agg(F.sum("value").alias("v"))
+        top = F.row_number().over(of_mid.orderBy(F.col("v").desc(), "client_key"))
+        most = F.when(agg == "max_client_value", 1).otherwise(F.greatest(F.lit(1), F.col("m.n")))
+        parts.append(clients.withColumn("_n", top).where(F.col("_n") <= most).groupBy("mid").agg(exact(F.sum("v")).alias("value")))
+    if by := {("corpus" if scope == "corpus" else "client"): ("" if scope == "corpus" else "client_key") for source, scope, _ in occur if source == "invoices"}:
+        i = distinct.where("m.source = 'invoices'")
+        a = F.col("agg")
+        billed = _rows(i, invoices, "invoices", by).groupBy("mid", F.col("m.agg").alias("agg")).agg(F.count("*").alias("c"), *(F.sum(c).alias(c) for c in ("invoiced", "received", "outstanding")))
+        value = F.when(a == "count_invoices", exact(F.col("c"))).when(a == "sum_invoiced", exact(F.col("invoiced"))).when(a == "sum_received", exact(F.col("received"))).otherwise(exact(F.col("outstanding")))
+        billed = cut(billed.select("mid", value.alias("value")), "billed")
+        parts += [billed, i.where(agg == "count_invoices").join(billed, "mid", "left_anti").select("mid", exact(F.lit(0)).alias("value"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def executed(candidates: DataFrame, anchors: DataFrame, works: DataFrame, invoices: DataFrame) -> DataFrame:
     """``candidates`` with ``value`` and ``error``; a failure is a row's error, never the job's."""
-    candidates = cut(analyzed(candidates), "candidates")
+    candidates = cut(analyzed(dealt(candidates)), "candidates")
     bound = cut(measures(candidates, anchors), "bound")
     known = cut(evaluate(bound, works, invoices).where("value is not null"), "values")
     sides = bound.join(known, "mid", "left").select("cid", "side", F.when(F.col("m.source") == "constant", F.col("m.value").try_cast("decimal(38,8)")).otherwise(F.col("value")).alias("v"), (F.col("key").isNull() & (F.col("m.source") != "constant")).alias("lost"), (F.col("dated") & F.col("anchor_date").isNull()).alias("undated"))

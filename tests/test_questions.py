@@ -1,5 +1,6 @@
 """Readings of questions on small tables: labels inside labels, clients' names, amounts, defaults, selection and measures of the corpus."""
 
+import datetime
 import json
 import random
 from decimal import Decimal
@@ -95,3 +96,36 @@ def test_plans_have_no_pairs_of_all(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert found.count() == sum(50 - k for k in range(20)) + 25
+
+
+def test_measures_of_the_corpus_are_those_of_rows(spark):
+    """Cells against a plain program: nulls, values at, between and beyond bounds, dates at bounds, ranks beyond the rows, nothing that passes."""
+    random.seed(7)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(days=n)
+    rows = [(k, k % 3, k % 2, random.choice(["low", "high", "", None]), random.choice(["x", "Y", None]), "good", random.choice(["Prime", "JV Partner"]), random.choice([None, *map(Decimal, (0, 5, 5, 7, 10, 11))]), random.random() < 0.5, "u", random.choice([None, day(0), day(400), day(401), day(800)])) for k in range(120)]
+    works = spark.createDataFrame(rows, "pkg long, client_key long, manager_key long, category string, state string, grading string, role string, value decimal(18,2), has_ref boolean, business_unit string, completed date")
+    filters = [{}, {"min_value": "5"}, {"max_value": "5"}, {"min_value": "5.01", "max_value": "10"}, {"min_value": "99"}, {"categories_in": ["low", "high"], "min_value": "7"}, {"categories_not_in": ["low"]}, {"years_in": [2021]}]
+    filters += [{"completed_after": str(day(400))}, {"completed_before": str(day(400)), "role": "prime"}, {"completed_after": str(day(1)), "completed_before": str(day(401)), "has_reference_letter": True}, {"state": "y", "max_value": "10"}]
+    aggs = ["count", "sum_value", "mean_value", "max_value", "min_value", "median_value", "nth_largest_value", "distinct_categories", "max_client_value"]
+    plans = {f"{a}/{i}": json.dumps({"left": {"source": "works", "scope": "corpus", "agg": a, "n": 9, "filters": f}}) for a in aggs for i, f in enumerate(filters)}
+    made = spark.createDataFrame([(c, "q", "model", 0, p) for c, p in plans.items()], "cid string, qid string, source string, place int, plan string")
+    bound = answers.measures(answers.analyzed(made), spark.createDataFrame([("q", None, None, None, None)], "qid string, client_key long, manager_key long, pkg long, anchor_date date"))
+    values = {r.mid: r.value for r in answers.evaluate(bound, works, spark.createDataFrame([], "client_key long, date date, invoiced decimal(18,2), received decimal(24,4), outstanding decimal(24,4), status string")).collect()}
+    got = {r.cid: values.get(r.mid) for r in bound.select("cid", "mid").collect()}
+    for name in plans:
+        a, f = name.split("/")[0], filters[int(name.split("/")[1])]
+        low, high, after, before = f.get("min_value"), f.get("max_value"), f.get("completed_after"), f.get("completed_before")
+        hit = [r for r in rows if (not low or (r[7] is not None and r[7] >= Decimal(low))) and (not high or (r[7] is not None and r[7] <= Decimal(high))) and ("categories_in" not in f or r[3] in f["categories_in"]) and ("categories_not_in" not in f or r[3] != "low") and ("years_in" not in f or (r[10] and r[10].year == 2021)) and (not after or (r[10] and str(r[10]) > after)) and (not before or (r[10] and str(r[10]) < before)) and ("role" not in f or r[6] == "Prime") and ("has_reference_letter" not in f or r[8]) and ("state" not in f or r[4] == "Y")]
+        v = sorted((r[7] for r in hit if r[7] is not None), reverse=True)
+        clients = [sum(r[7] for r in hit if r[1] == k and r[7] is not None) for k in {r[1] for r in hit}]
+        want = {"count": len(hit), "sum_value": sum(v) if v else None, "mean_value": sum(v) / len(hit) if v else None, "max_value": v[0] if v else None, "min_value": v[-1] if v else None, "median_value": (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 if v else None, "nth_largest_value": v[8] if len(v) > 8 else None, "distinct_categories": len({r[3] for r in hit} - {"", None}), "max_client_value": max(clients) if clients else None}[a]
+        assert (got[name] is None) == (want is None) and (want is None or abs(got[name] - want) < Decimal("1e-5")), (name, got[name], want)
+
+
+def test_works_are_counted_once_for_all_bounds(spark):
+    """Each work is joined once, not once for each measure that it passes."""
+    works = spark.createDataFrame([(k, k % 3, k % 2, "low", "x", "good", "Prime", Decimal(k), True, "u", datetime.date(2020, 1, 5)) for k in range(4000)], "pkg long, client_key long, manager_key long, category string, state string, grading string, role string, value decimal(18,2), has_ref boolean, business_unit string, completed date")
+    rows = [(str(i), "q", "model", 0, json.dumps({"left": {"source": "works", "scope": "corpus", "agg": "count", "filters": {"min_value": str(100 * i)}}})) for i in range(30)]
+    bound = answers.measures(answers.analyzed(spark.createDataFrame(rows, "cid string, qid string, source string, place int, plan string")), spark.createDataFrame([("q", None, None, None, None)], "qid string, client_key long, manager_key long, pkg long, anchor_date date"))
+    met, _ = answers._met(bound, works, False)
+    assert met.count() <= 30 * 61 and met.agg(F.sum("c")).first()[0] == sum(4000 - 100 * i for i in range(30))
