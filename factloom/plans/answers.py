@@ -287,8 +287,10 @@ def answer(questions: DataFrame, works: DataFrame, invoices: DataFrame, managers
     """qid, answer, source, shape, client_key, error, values of every question (qid, question, answer_type); ``values``: the distinct answers of its plans.
 
     ``works`` has ``anchor``-free facts with business_unit and work_name; ``model``: qid, place, plan (JSON) of a model's plans, if there are any. The
-    rules are sure of a question if a cue matched, the plan ran, and the client isn't just the engineer's principal account.
+    rules are sure of a question if a cue matched, the plan ran, and the client isn't just the engineer's principal account. Works are made once: some
+    twenty steps read them.
     """
+    works = cut(works, "works")
     anchors = cut(resolve.anchors(questions, works, managers, table, credentials, states), "anchors")
     names = works.groupBy("client_key").agg(F.min_by("client_name", "pkg").alias("client_name"))
     told = anchors.where(F.col("client_from").isin("question", "mention")).select("qid", "client_key").join(names, "client_key")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from factloom import catalog
 from factloom.catalog_documents import _works
 from factloom.functions import scalars as X
-from factloom.operators import documents, kinds, records, render
+from factloom.operators import documents, kinds, records, render, resolve
+from factloom.plans import answers
 from factloom.sources import scratch
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +138,43 @@ def test_an_estate_is_read_once(spark, tmp_path, monkeypatch):
     with pytest.raises(StopIteration):
         lake.report(spark, str(tmp_path), "none")
     assert len(seen) == 2 and not [p for p in seen if "nfkc" in p or "regexp" in p or "contains" in p]
+
+
+def _rows_of(monkeypatch, module) -> dict:
+    """Rows of each table that a module cuts, by its name."""
+    rows, plain = {}, module.cut
+
+    def cut(df, name):
+        out = plain(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "cut", cut)
+    return rows
+
+
+def test_equal_names_are_read_once(spark, monkeypatch):
+    rows = _rows_of(monkeypatch, resolve)
+    works = spark.createDataFrame([(k, ["steel bridge", "canal lining"][k % 2]) for k in range(40)], "pkg long, work_name string")
+    q = resolve.asked(spark.createDataFrame([("a", "the canal lining work"), ("b", "a steel bridge")], "qid string, question string"))
+    assert {r.qid: r.pkg for r in resolve.resolve_works(q, works).collect()} == {"a": 1, "b": 0}
+    assert rows["work-names"] == [2]
+
+
+def test_works_are_made_once_for_answers(spark):
+    """The works' own steps are run by one write, not by each step that reads them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(k):
+        made.add(1)
+        return k
+
+    works = spark.createDataFrame([(k, k % 2, f"Client {'ab'[k % 2]}xx", "low works", "low", "good", "Prime", k % 2, True, "u") for k in range(10)], "pkg long, client_key long, client_name string, work_name string, category string, grading string, role string, manager_key long, has_ref boolean, business_unit string")
+    works = works.withColumn("state", F.lit(None).cast("string")).withColumn("completed", F.lit("2020-01-05").cast("date")).withColumn("value", F.udf(seen, "long")("pkg").cast("decimal(18,2)"))
+    invoices = spark.createDataFrame([], "client_key long, date date, invoiced decimal(18,2), received decimal(24,4), outstanding decimal(24,4), status string")
+    people = spark.createDataFrame([], "manager_key long, name string, name_key string, works long, value decimal(18,2)")
+    table = resolve.client_signatures(works.select("client_key", "client_name").distinct(), works.select("work_name").distinct())
+    credentials = spark.createDataFrame([], "credential_id string, credential string, manager_key long, issued date")
+    asked = spark.createDataFrame([("q", "What is the total value of works for Client axx?", "money")], "qid string, question string, answer_type string")
+    got = answers.answer(asked, works, invoices, people, table, credentials).collect()
+    assert [(r.qid, float(r.answer)) for r in got] == [("q", 20.0)] and made.value == 10
