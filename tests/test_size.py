@@ -161,6 +161,16 @@ def test_equal_names_are_read_once(spark, monkeypatch):
     assert rows["work-names"] == [2]
 
 
+def test_equal_questions_about_clients_are_scored_once(spark, monkeypatch):
+    rows = _rows_of(monkeypatch, resolve)
+    names = spark.createDataFrame([(1, "Mahanadi Works"), (2, "Trishakti Limited")], "client_key long, client_name string")
+    table = resolve.client_signatures(names, spark.createDataFrame([("steel works",)], "work_name string"))
+    text = lambda k: ["what does mahanadi owe", "trishakti totals", "nobody", None][k % 4]
+    q = spark.createDataFrame([(str(k), text(k)) for k in range(40)] + [(None, text(0))], "qid string, nq string")
+    assert {r.qid: r.client_key for r in resolve.resolve_clients(q, table).collect()} == {str(k): k % 4 + 1 for k in range(40) if k % 4 < 2}
+    assert rows["texts"] == [4]
+
+
 def test_works_are_made_once_for_answers(spark):
     """The works' own steps are run by one write, not by each step that reads them."""
     made = spark.sparkContext.accumulator(0)
