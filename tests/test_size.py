@@ -211,3 +211,25 @@ def test_files_are_read_in_many_parts(spark, tmp_path):
     few = spark.read.parquet(path).rdd.getNumPartitions()
     with scratch.spread(spark):
         assert spark.read.parquet(path).rdd.getNumPartitions() > few
+
+
+def test_ingest_doesnt_shuffle_texts(spark, tmp_path, monkeypatch):
+    """Files of the estate are read in many parts; the session's setting is as it was."""
+    from factloom.operators import lake
+
+    plans, key = [], "spark.sql.files.minPartitionNum"
+    monkeypatch.setattr(lake, "cut", lambda df, name, cut=scratch.cut: plans.append((_plan(df), spark.conf.get(key, None))) or cut(df, name))
+    docs = spark.createDataFrame([("a", "Record of work completed", None, None)], f"doc_id string, text string, sheets {render._SHEETS}, error string")
+    lake.ingest(docs, str(tmp_path))
+    assert plans and not [p for p, _ in plans if "Repartition" in p] and all(int(n) == 4 * spark.sparkContext.defaultParallelism for _, n in plans)
+    assert spark.conf.get(key, None) is None
+
+
+def test_issues_are_made_if_asked(spark, tmp_path, monkeypatch):
+    from factloom.operators import lake
+
+    rows = [("a", "Acme  Office\nCompletion Certificate\nRef: CC/1/1996/7\nName of Work    roads works Pkg-7\nContract Value    INR 5 Lakh\nCompletion Date    03/02/1996", None, None)]
+    lake.ingest(spark.createDataFrame(rows, f"doc_id string, text string, sheets {render._SHEETS}, error string"), f"{tmp_path}/e")
+    monkeypatch.setattr(records, "company_certificates", lambda *_: pytest.fail("parsed"))
+    assert lake.build(spark, f"{tmp_path}/e", f"{tmp_path}/f", issues=False) is None
+    assert lake.read(spark, f"{tmp_path}/f", "work").count() == 1
