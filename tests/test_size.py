@@ -233,3 +233,18 @@ def test_issues_are_made_if_asked(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(records, "company_certificates", lambda *_: pytest.fail("parsed"))
     assert lake.build(spark, f"{tmp_path}/e", f"{tmp_path}/f", issues=False) is None
     assert lake.read(spark, f"{tmp_path}/f", "work").count() == 1
+
+
+def test_letterheads_are_read_once(spark):
+    rows = [("a", "\n  \nAcme  Office"), ("b", "  Acme  Office"), ("c", " Acme, Ltd. · Goa\nx"), ("d", " \n "), ("e", None), ("f", "")]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], f"doc_id string, text string, sheets {render._SHEETS}, error string")
+    typed = kinds.classified(docs)
+    assert _plan(typed).count(r"\s{2,}|·") == 1 and "array_sort" not in _plan(typed)
+    assert [r.head_org for r in typed.orderBy("doc_id").collect()] == ["acme", None, "acme, ltd", None, None, None]
+
+
+def test_the_first_of_equal_scores_has_the_lowest_name(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["b a", "a b c c", "c", "d", None])], "doc_id long, text string")
+    cues = [("z", 1, "b"), ("y", 1, r"\ba\b"), ("x", 2, "c"), ("w", 1, "c")]
+    got = documents.classify(docs, cues, {"x": "w"}).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in got] == [("y", 1, "z"), ("x", 2, "y"), ("x", 2, None), ("unknown", 0, None), ("unknown", 0, None)]
